@@ -32,5 +32,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_quality_classifier, op10_simhash)}
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sharding import assign_shards
+
+    made = assign_shards(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.bpe import digests
+
+    made = digests(F.col("text"), str(public_tokenizers.path("byte_bpe_50k.json")))
+    return _table(spark, sf_dir, "documents").select("doc_id", made.alias("made")).select("doc_id", "made.*")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_sharding, op5_quality_classifier, op7_bpe, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
