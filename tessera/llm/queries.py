@@ -10,6 +10,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.warc import archive_and_read
+
+    return archive_and_read(_table(spark, sf_dir, "pages"), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_rules import apply_rules, fit_ratio
 
@@ -39,6 +45,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.packing import best_fit
+
+    return best_fit(_table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,5 +60,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", made.alias("made")).select("doc_id", "made.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_sharding, op5_quality_classifier, op7_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op5_quality_classifier, op6_packing, op7_bpe, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
