@@ -66,45 +66,46 @@ def hex_digits(value: Column) -> Column:
 
 
 def halves(distinct: DataFrame) -> DataFrame:
-    """Rows (side, cell, up, fp): for each half its own cell and the cells one step up."""
-    half = distinct.select("fp", F.explode(F.expr("array(struct(0 as side, fp & 4294967295L as half), struct(1 as side, shiftrightunsigned(fp, 32) as half))")).alias("h")).select("fp", "h.side", "h.half")
-    # low and high bits of each segment; the count of segment i is their sum, kept in base 4
-    own = half.withColumn("cell", F.expr("(half & 1431655765L) + (shiftright(half, 1) & 1431655765L)"))
-    # a segment may be raised while its count is below 2
+    """Rows (side, cell, fp): each half's own cell. A cell packs sixteen segment counts of 0..2, two bits each."""
+    half = distinct.select("fp", F.explode(F.expr("array(struct(0 as side, fp & 4294967295L as half), struct(1 as side, shiftrightunsigned(fp, 32) as half))")).alias("h"))
+    return half.select("h.side", F.expr("(h.half & 1431655765L) + (shiftright(h.half, 1) & 1431655765L)").alias("cell"), "fp")
+
+
+def stepped(own: DataFrame) -> DataFrame:
+    """Rows (side, cell, up, fp): the own cells and those with one segment count raised by one."""
     steps = "filter(sequence(0, 15), i -> (shiftright(cell, 2 * i) & 3) < 2)"
-    keyed = own.withColumn("to", F.expr(f"concat(array(struct(cell as cell, false as up)), transform({steps}, i -> struct(cell + shiftleft(1L, 2 * i) as cell, true as up)))"))
-    return keyed.select("fp", "side", F.explode("to").alias("t")).select("side", "t.cell", "t.up", "fp")
+    to = F.expr(f"concat(array(struct(cell as cell, false as up)), transform({steps}, i -> struct(cell + shiftleft(1L, 2 * i) as cell, true as up)))")
+    return own.select("side", "fp", F.explode(to).alias("t")).select("side", "t.cell", "t.up", "fp")
 
 
 def linked_pairs(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) that keep every link within `radius` connected."""
-    rows = stored(halves(distinct), "simhash-cells")
-    # a cell is worth comparing if it holds an own half and at least one more row
-    sizes = rows.groupBy("side", "cell").agg(F.sum(F.col("up").cast("int")).alias("ups"), F.count("*").alias("n")).withColumn("own", F.col("n") - F.col("ups")).where("own > 0 and n > 1")
-    sizes = stored(sizes.select("side", "cell", "n", "own"), "simhash-sizes")
-    small, large = sizes.where(F.col("n") <= block), sizes.where(F.col("n") > block)
-    near = rows.join(small, ["side", "cell"]).select("side", "cell", "up", "fp")
-    a, b = near.where("not up").select("side", "cell", F.col("fp").alias("a")), near.select("side", "cell", "up", F.col("fp").alias("b"))
+    """Edges (a, b) between distinct fingerprints (column fp) that keep every link within `radius` connected.
+
+    Only own cells are counted; the cells one step up are made inside the join, whose other side is the own cells.
+    """
+    own = halves(distinct)
+    large = stored(own.groupBy("side", "cell").agg(F.count("*").alias("own")).where(F.col("own") > block), "simhash-large")
+    a = own.join(large, ["side", "cell"], "left_anti").select("side", "cell", F.col("fp").alias("a"))
+    b = stepped(own).select("side", "cell", "up", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = a.join(b, ["side", "cell"]).where((F.col("up") | (F.col("a") < F.col("b"))) & close).select("a", "b")
-    return pairs.unionByName(_blocked(rows, large, radius, block))
+    return pairs.unionByName(_blocked(stepped(own), large, radius, block))
 
 
 def _blocked(rows: DataFrame, large: DataFrame, radius: int, block: int) -> DataFrame:
-    """Forest edges of the cells with more than `block` rows: blocks of rows, compared two by two."""
-    cut = rows.join(large, ["side", "cell"]).withColumn("k", F.ceil(F.col("n") / block)).withColumn("i", F.pmod(F.xxhash64("fp", "up"), F.col("k")))
+    """Forest edges of the cells with more than `block` own rows: blocks of rows, compared two by two."""
+    cut = rows.join(large.select("side", "cell"), ["side", "cell"])
+    cut = cut.join(cut.groupBy("side", "cell").agg(F.count("*").alias("n")), ["side", "cell"]).withColumn("k", F.ceil(F.col("n") / block)).withColumn("i", F.pmod(F.xxhash64("fp", "up"), F.col("k")))
     # block i meets every block j: its task (i, j) has i <= j
     dealt = cut.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     dealt = dealt.select("side", "cell", F.least("i", "with").alias("i"), F.greatest("i", "with").alias("j"), (F.col("i") <= F.col("with")).alias("first"), "up", "fp")
 
     def compare(table: pa.Table) -> pa.Table:
         fp, up, first = (np.asarray(table.column(c)) for c in ("fp", "up", "first"))
-        one = (table.column("i")[0] == table.column("j")[0]) if len(fp) else True
-        left = np.flatnonzero(first) if not one else np.arange(len(fp))
-        right = np.flatnonzero(~first) if not one else left
+        one = table.column("i")[0] == table.column("j")[0]
+        left, right = (np.arange(len(fp)),) * 2 if one else (np.flatnonzero(first), np.flatnonzero(~first))
         far = np.bitwise_count(fp[left][:, None].view(np.uint64) ^ fp[right][None, :].view(np.uint64))
-        ok = (far <= radius) & ~(up[left][:, None] & up[right][None, :])
-        x, y = np.nonzero(ok)
+        x, y = np.nonzero((far <= radius) & ~(up[left][:, None] & up[right][None, :]))
         x, y = forest(fp[left[x]], fp[right[y]])
         return pa.table({"a": pa.array(x), "b": pa.array(y)})
 
