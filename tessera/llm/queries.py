@@ -24,6 +24,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs.select("doc_id", "text"), ratio).select("doc_id", "rules.n_words", "rules.word_chars", "rules.n_symbols", "rules.n_dup_lines", "rules.n_repeat_words", "rules.base_failed", "rules.kept", "rules.ratio")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.embedding_dedup import link_components
+
+    return link_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_classifier import classify, fit, held_out
 
@@ -60,5 +66,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", made.alias("made")).select("doc_id", "made.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op5_quality_classifier, op6_packing, op7_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op4_embedding_dedup, op5_quality_classifier, op6_packing, op7_bpe, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
