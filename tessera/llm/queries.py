@@ -38,6 +38,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "quality_score.score", "quality_score.predicted")
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_extract import extract_pages, fit
+
+    pages = _table(spark, sf_dir, "pages")
+    made = extract_pages(pages.select("page_id", "url", "html"), fit(pages))
+    return made.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_dedup import removal_digest
 
@@ -72,5 +80,5 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", made.alias("made")).select("doc_id", "made.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op4_embedding_dedup, op5_quality_classifier, op6_packing, op7_bpe, op9_suffix_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op4_embedding_dedup, op5_quality_classifier, op6_packing, op7_bpe, op8_html_extract, op9_suffix_dedup, op10_simhash)}
 ORACLE_SQL: dict[str, str] = {}
