@@ -304,7 +304,8 @@ def find_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
     keyed = docs.select(span_id(F.col(doc_id)).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     long_enough = keyed.where(F.octet_length("text") >= length)
     runs = stored(window_runs(long_enough, length), "suffix-runs")
-    repeated = runs.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor")
+    # written first: both sides of the join are then plain exchanges, whose large partitions Spark can split
+    repeated = stored(runs.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor"), "suffix-repeated")
     hits = stored(runs.join(repeated, "anchor"), "suffix-hits")
     classes = stored(hits.groupBy(*CLASS).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n")).alias("rep")), "suffix-classes")
     contested = classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
@@ -314,9 +315,9 @@ def find_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
     many = _counted(slices.where(F.col("k") > most_classes), length)
     single = few.unionByName(many.select("doc_id", "th", "start", "marked"))
     parts = F.transform(F.sequence(F.lit(0), (F.size("marked") / 2 - 1).cast("int")), lambda i: F.struct((F.col("start") + F.get("marked", 2 * i)).alias("b"), (F.col("start") + F.get("marked", 2 * i + 1) - 1 + length).alias("e")))
-    some = single.select("doc_id", "th", F.explode(parts).alias("s"))
-    whole = hits.join(classes.where("copies > 1").select(*CLASS), CLASS).select("doc_id", "th", F.struct(F.col("start").alias("b"), (F.col("start") + F.col("n") - 1 + length).alias("e")).alias("s"))
-    return some.unionByName(whole).groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans"))
+    some = single.select("doc_id", "th", parts.alias("s"))
+    whole = hits.join(classes.where("copies > 1").select(*CLASS), CLASS).select("doc_id", "th", F.array(F.struct(F.col("start").alias("b"), (F.col("start") + F.col("n") - 1 + length).alias("e"))).alias("s"))
+    return some.unionByName(whole).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
