@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _CODES = [np.random.Generator(np.random.PCG64(s)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1) for s in (71, 72)]

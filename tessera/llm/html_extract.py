@@ -6,8 +6,8 @@ vectors of all blocks of a page and gives each a chance of being main text, so e
 Blocks above one half are joined.
 
 The labeller is trained here: on at most `max_pages` pages (the smallest hashes of page_id), labelled by the meaning of
-their own elements (article or main against nav, footer, aside and the like), and on as many new layouts that dress the
-same blocks in other elements, with sidebars, notices, forms and reader comments. Training is seeded; the result goes to
+their own elements (article or main against nav, footer, aside and the like), and on about max_pages new layouts that
+dress the same blocks in other elements, with sidebars, notices, forms and reader comments. Training is seeded; the result goes to
 the tasks as a few small arrays.
 
 Defined cases: a null or empty html has an empty text. Broken markup is read as far as it goes: unclosed elements end
@@ -333,7 +333,7 @@ _PLAIN = ("Some plain words stand here.", "A second sentence follows the first o
 
 
 def fit(pages: DataFrame, *, html: str = "html", page_id: str = "page_id", max_pages: int = 300, seed: int = 10) -> Labeller:
-    """Train on at most max_pages pages and as many new layouts."""
+    """Train on at most max_pages pages and about max_pages new layouts."""
     chosen = pages.where(F.col(html).isNotNull()).select(F.col(page_id).alias("id"), F.col(html).alias("html")).orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(max_pages).collect()
     rng = np.random.Generator(np.random.PCG64(seed))
     x, y = [], []
@@ -344,7 +344,7 @@ def fit(pages: DataFrame, *, html: str = "html", page_id: str = "page_id", max_p
         if found and main:
             x.append(vectors(found))
             y.append(labels)
-        for _ in range(1 if row is not None else 20):
+        for _ in range(-(-max_pages // max(len(chosen), 1)) if row is not None else 20):
             page, true = redressed(main[:30] or list(_PLAIN[:2]), rest[:30] or list(_PLAIN[2:]), rng)
             made = blocks(page)
             x.append(vectors(made))

@@ -103,15 +103,16 @@ def assign_shards(docs: DataFrame, *, n_shards: int = 40, key: int = 20_231, tex
 def write_shards(docs: DataFrame, path: str, *, n_shards: int = 40, key: int = 20_231, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Write docs under path, one folder a shard, rows ordered by slot; returns the assignment.
 
-    Rows of equal id and text are matched to their places in order of their number.
+    Rows of equal id and text are matched to their places in any order. A column `_shard` of docs is replaced by the folder's.
     """
     places = stored(assign_shards(docs, n_shards=n_shards, key=key, text=text, doc_id=doc_id), "shards")
-    same = Window.partitionBy("doc_id", "text_hash", "text_crc32")
     data = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_id", F.col(doc_id)).withColumn("_hash", F.xxhash64(data)).withColumn("_crc", F.crc32(data.cast("binary")))
-    keyed = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_hash", "_crc").orderBy(F.lit(1))))
-    place = places.withColumn("_k", F.row_number().over(same.orderBy("row_number"))).select(F.col("doc_id").alias("_pid"), F.col("text_hash").alias("_phash"), F.col("text_crc32").alias("_pcrc"), F.col("_k").alias("_pk"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    match = F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_hash") == F.col("_phash")) & (F.col("_crc") == F.col("_pcrc")) & (F.col("_k") == F.col("_pk"))
-    rows = keyed.join(place, match).drop("_id", "_hash", "_crc", "_k", "_pid", "_phash", "_pcrc", "_pk")
-    rows.repartitionByRange(n_shards, "_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
+    match = ["_id", "_null", "_hash", "_crc", "_k"]
+    parts = lambda i: (F.coalesce(i.cast("long"), F.lit(0).cast("long")).alias("_id"), i.isNull().alias("_null"))
+    numbered = lambda df, order: df.withColumn("_k", F.row_number().over(Window.partitionBy(*match[:-1]).orderBy(order)))
+    # a row travels as one struct, so no name of its own can clash
+    keyed = numbered(docs.drop("_shard").select(F.struct("*").alias("row"), *parts(F.col(doc_id)), F.xxhash64(data).alias("_hash"), F.crc32(data.cast("binary")).alias("_crc")), F.lit(1))
+    place = numbered(places.select(*parts(F.col("doc_id")), F.col("text_hash").alias("_hash"), F.col("text_crc32").alias("_crc"), "row_number", "shard", "slot"), F.col("row_number"))
+    rows = keyed.join(place, match).select("row", "shard", "slot").repartitionByRange(n_shards, "shard", "slot").sortWithinPartitions("shard", "slot")
+    rows.select("row.*", F.col("shard").alias("_shard")).write.partitionBy("_shard").parquet(path)
     return places

@@ -129,9 +129,10 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") ->
     """
     found = near_duplicates(docs, text=text, doc_id=doc_id).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("root").agg(F.min(F.struct("fp", "doc_id")).alias("m")).select(F.col("m.fp").alias("_fp"), *_id_parts(F.col("m.doc_id")))
-    keyed = docs.select("*", fingerprint(F.col(text)).alias("_fp"), *_id_parts(F.col(doc_id)))
+    # a row travels as one struct, so no name of its own can clash
+    keyed = docs.select(F.struct("*").alias("row"), fingerprint(F.col(text)).alias("_fp"), *_id_parts(F.col(doc_id)))
     key = ["_id", "_null", "_fp"]
-    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(docs.columns)
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")
 
 
 def _id_parts(doc_id: Column) -> tuple[Column, Column]:

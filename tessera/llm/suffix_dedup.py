@@ -341,13 +341,6 @@ def _span_lists(column: pa.Array) -> Iterator[np.ndarray]:
         yield merged(np.array([(s["b"], s["e"]) for s in x.as_py()], np.int64)) if x.is_valid else np.empty((0, 2), np.int64)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """docs with their `_spans` (null: none)."""
-    s = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_id", span_id(doc_id)).withColumn("_th", F.xxhash64(F.coalesce(text, F.lit(""))))
-    return keyed.join(s, ["_id", "_th"], "left").drop("_id", "_th")
-
-
 def removal_digest(docs: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spans = find_spans(docs, **options)
@@ -376,5 +369,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     def cut(column: pa.Array, spans: pa.Array) -> pa.Array:
         return pa.array([None if not x.is_valid else kept_bytes(x.as_py().encode(), s).decode("utf-8", "ignore") for x, s in zip(column, _span_lists(spans))], pa.string())
 
-    joined = with_spans(docs, spans, F.col(doc_id), F.col(text))
-    return joined.withColumn(text, cut(F.col(text), F.col("_spans"))).drop("_spans")
+    # a row travels as one struct, so no name of its own can clash
+    keyed = docs.select(F.struct("*").alias("row"), span_id(F.col(doc_id)).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"))
+    joined = keyed.join(spans.withColumnsRenamed({"doc_id": "_id", "th": "_th", "spans": "_spans"}), ["_id", "_th"], "left")
+    return joined.select(F.col("row").withField(f"`{text}`", cut(F.col("row").getField(text), F.col("_spans"))).alias("row")).select("row.*")
