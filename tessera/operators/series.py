@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,20 +57,20 @@ def phase_fold(df: DataFrame, *, key: list[str], phase: str, value: str) -> Data
     return t.select(*key, "n", ((F.col("_q") - F.col("_b")) / (F.col("_q") - F.col("_s") * F.col("_s") / F.col("n"))).alias("left"))
 
 
-def tail_midp(df: DataFrame, null: DataFrame, *, value: str) -> DataFrame:
+def tail_midp(df: DataFrame, null: DataFrame, *, value: str, parts: int = 64) -> DataFrame:
     """df with the upper mid-p of its value in the empirical null: (count above + half the ties) / count.
 
-    Both sides are counted by distinct value, so the ordered pass is over distinct values.
+    Both sides are counted by distinct value. Values are dealt to `parts` ranges by approximate quantiles of the null; order
+    within a range is one window a range, order between ranges one window over the ranges' counts.
     """
-    counts = null.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_null"))
-    asked = df.select(F.col(value).alias("_v")).distinct().withColumn("_ask", F.lit(1))
-    both = asked.join(counts, "_v", "full")
-    w = Window.orderBy("_v")
-    all_n = F.sum(F.coalesce("_null", F.lit(0))).over(Window.partitionBy())
-    below = F.sum(F.coalesce("_null", F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    p = (all_n - below + F.coalesce("_null", F.lit(0)) / F.lit(2.0).cast("double")) / all_n
-    ranked = both.select("_v", "_ask", p.alias("p")).where("_ask = 1").drop("_ask")
-    return df.join(ranked, F.col(value) == F.col("_v")).drop("_v")
-
-
-TURN = 2 * math.pi
+    counts = null.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_null"))
+    bounds = null.agg(F.coalesce(F.percentile_approx(value, F.array(*[F.lit(k / parts) for k in range(1, parts)])), F.array().cast("array<double>")).alias("_bounds"))
+    asked = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v")).distinct().withColumn("_ask", F.lit(1))
+    both = asked.join(counts, "_v", "full").join(F.broadcast(bounds)).withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).withColumn("_null", F.coalesce("_null", F.lit(0)))
+    sums = both.groupBy("_part").agg(F.sum("_null").alias("_own"))
+    ahead = F.sum("_own").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))  # at most `parts` rows
+    sums = sums.select("_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"), F.sum("_own").over(Window.partitionBy()).alias("_all"))
+    inside = F.coalesce(F.sum("_null").over(Window.partitionBy("_part").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = both.withColumn("_inside", inside).where("_ask = 1").join(F.broadcast(sums), "_part")
+    p = (F.col("_ahead") + F.col("_inside") + F.col("_null") / F.lit(2.0).cast("double")) / F.col("_all")
+    return df.join(placed.select("_v", p.alias("p")), F.col(value) == F.col("_v")).drop("_v")

@@ -87,12 +87,12 @@ def content_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("""
-WITH c AS (SELECT doc_id, len(regexp_extract_all(lower(text), '\\b(the|and|of)\\b')) AS a, len(regexp_extract_all(lower(text), '\\b(der|die|und)\\b')) AS b FROM documents)
+WITH c AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[ \n](the|and|of)[ \n]')) AS a, len(regexp_extract_all(lower(text), '[ \n](der|die|und)[ \n]')) AS b FROM documents)
 SELECT doc_id, CASE WHEN a = 0 AND b = 0 THEN 'UNKNOWN' WHEN a > b THEN 'ENGLISH' WHEN b > a THEN 'GERMAN' ELSE 'MIXED' END AS label FROM c
 """)
 def style_label(spark: SparkSession, d: str) -> DataFrame:
     """Style of a text by which of two patterns matches more often."""
-    return table(spark, d, "documents").select("doc_id", x.style_label(F.col("text"), r"\b(the|and|of)\b", r"\b(der|die|und)\b", ("ENGLISH", "GERMAN")).alias("label"))
+    return table(spark, d, "documents").select("doc_id", x.style_label(F.col("text"), r"[ \n](the|and|of)[ \n]", r"[ \n](der|die|und)[ \n]", ("ENGLISH", "GERMAN")).alias("label"))
 
 
 @register("SELECT event_type, cast(json_extract(props, '$.k') AS INT) % 10 AS k, count(*) AS n FROM events GROUP BY 1, 2")

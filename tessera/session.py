@@ -12,8 +12,17 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once an application, for sessions that were not started with it on their path."""
+    """Make a session ready for this package.
+
+    Sends the package to the executors once an application, for sessions not started with it on their path, and lowers
+    Spark's default of rows in an Arrow batch: whole texts and pages are long, and a batch is held by the JVM and by Python.
+    """
+    if spark.conf.get(ROWS_PER_BATCH) == "10000":
+        spark.conf.set(ROWS_PER_BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
