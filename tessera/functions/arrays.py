@@ -181,3 +181,62 @@ def ciede2000(lab1: np.ndarray, lab2: np.ndarray) -> np.ndarray:
     sl, sc, sh = 1 + 0.015 * (l - 50) ** 2 / np.sqrt(20 + (l - 50) ** 2), 1 + 0.045 * c, 1 + 0.015 * c * t
     rt = -np.sin(np.radians(60 * np.exp(-(((h - 275) / 25) ** 2)))) * 2 * np.sqrt(c**7 / (c**7 + 25.0**7))
     return np.sqrt((dl / sl) ** 2 + (dc / sc) ** 2 + (dh / sh) ** 2 + rt * (dc / sc) * (dh / sh))
+
+
+def matching_blocks(a: list, b: list, least: int = 1) -> list[tuple[int, int, int]]:
+    """Longest common blocks of two sequences, found again on either side of each, in order: (start in a, start in b, size)."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    places: dict = {}
+    for j, v in enumerate(b):
+        places.setdefault(v, []).append(j)
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        best, ends = (0, a0, b0), {}
+        for i in range(a0, a1):
+            new = {}
+            for j in places.get(a[i], ()):
+                if b0 <= j < b1:
+                    new[j] = size = ends.get(j - 1, 0) + 1
+                    if size > best[0]:
+                        best = size, i - size + 1, j - size + 1
+            ends = new
+        size, i, j = best
+        if size >= least:
+            out.append((i, j, size))
+            todo += [(a0, i, b0, j), (i + size, a1, j + size, b1)]
+    return sorted(out)
+
+
+def onsets(series: np.ndarray) -> dict[str, float]:
+    """Tempo of a strength series: rises only, autocorrelation under a log-normal prior about 8 steps, and beats tracked."""
+    n = len(series)
+    if n < 16 or not np.isfinite(series).all():
+        return {}
+    rise = np.maximum(np.diff(series, prepend=series[0]), 0)
+    rise = rise / (rise.max() or 1.0)
+    x = rise - rise.mean()
+    acf = np.correlate(x, x, "full")[n - 1 :][: n // 2]
+    lags = np.arange(2, len(acf))
+    period = int(lags[np.argmax(acf[2:] * np.exp(-0.5 * np.log2(lags / 8) ** 2))])
+    # beats by dynamic programming: each beat follows one about a period before, squared log deviation is the cost
+    score, back = rise.copy(), np.full(n, -1)
+    for t in range(2, n):
+        gaps = np.arange(max(1, period // 2), min(2 * period, t) + 1)
+        if len(gaps):
+            value = score[t - gaps] - 10 * np.log(gaps / period) ** 2
+            k = int(value.argmax())
+            if value[k] > 0:
+                score[t], back[t] = rise[t] + value[k], t - gaps[k]
+    t, beats = int(score.argmax()), 0
+    while t >= 0:
+        beats, t = beats + 1, int(back[t])
+    return {"period": float(period), "beats": float(beats), "strength": float(score.max() / max(beats, 1))}
+
+
+def novelty(matrix: np.ndarray, half: int = 4) -> np.ndarray:
+    """Checkerboard novelty along the diagonal of a similarity matrix."""
+    sign = np.where((np.arange(2 * half)[:, None] < half) == (np.arange(2 * half)[None, :] < half), 1.0, -1.0)
+    taper = np.exp(-(((np.arange(2 * half) - half + 0.5) / half) ** 2))
+    kernel = sign * taper[:, None] * taper
+    padded = np.pad(matrix, half)
+    return np.array([max(0.0, (padded[i : i + 2 * half, i : i + 2 * half] * kernel).sum()) for i in range(len(matrix))])

@@ -26,7 +26,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for module in ("event_joins", "profile", "sequences", "settings", "signals", "evidence"):
+    for module in ("event_joins", "profile", "sequences", "settings", "signals", "evidence", "more_signals"):
         importlib.import_module(f"tessera.plans.{module}")
 
 
