@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 U = np.uint64
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _CODES = [np.random.Generator(np.random.PCG64(s)).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1) for s in (71, 72)]
@@ -43,7 +43,7 @@ def _power(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             made.append(np.cumprod(p, dtype=np.uint64))
         have = made[0], made[1]
-        if n <= 4 * CHUNK_BYTES:  # larger ones are for a single very long text and are not kept
+        if n <= 2 * CHUNK_BYTES:  # larger ones are for a single very long text and are not kept
             _powers[which] = have
     return have
 

@@ -35,7 +35,7 @@ from tessera.llm._text import RangeHash, Texts, U, texts
 
 LENGTH = 400
 GRAM = 32
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 400_000
 MOST_CLASSES = 400
 BUCKET_WINDOWS = 400_000
 WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc_id", "<i8"), ("th", "<i8"), ("start", "<i4"), ("k", "<i4"), ("copies", "<i8")])
@@ -183,13 +183,14 @@ def _slices(keyed: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     joined = keyed.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "z", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), *((c, pa.int64()) for c in (*CLASS, "copies", "k")), ("start", pa.int32()), ("n", pa.int32()), ("slice", pa.binary())])
         for batch in batches:
-            rows = []
-            for doc, th, z, runs in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                data = unpacked(z)
-                rows += [r | {"doc_id": doc, "th": th, "slice": data[r["start"] : r["start"] + r["n"] - 1 + length]} for r in runs]
-            kind = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), *((c, pa.int64()) for c in (*CLASS, "copies", "k")), ("start", pa.int32()), ("n", pa.int32()), ("slice", pa.binary())])
-            yield from pa.Table.from_pylist(rows, kind).to_batches(max_chunksize=4096)
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for doc, th, z, runs in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    data = unpacked(z)
+                    rows += [r | {"doc_id": doc, "th": th, "slice": data[r["start"] : r["start"] + r["n"] - 1 + length]} for r in runs]
+                yield from pa.Table.from_pylist(rows, kind).to_batches(max_chunksize=4096)
 
     return joined.mapInArrow(cut, "doc_id long, th long, anchor long, c1 long, c2 long, copies long, k long, start int, n int, slice binary")
 
