@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import smallest_hashes
 from tessera.llm._text import RangeHash, U, texts
 
 PATH, WORD, FIGURES = 48, 24, 5
@@ -334,7 +335,9 @@ _PLAIN = ("Some plain words stand here.", "A second sentence follows the first o
 
 def fit(pages: DataFrame, *, html: str = "html", page_id: str = "page_id", max_pages: int = 300, seed: int = 10) -> Labeller:
     """Train on at most max_pages pages and about max_pages new layouts."""
-    chosen = pages.where(F.col(html).isNotNull()).select(F.col(page_id).alias("id"), F.col(html).alias("html")).orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(max_pages).collect()
+    rows = pages.where(F.col(html).isNotNull() & F.col(page_id).isNotNull()).select(F.col(page_id).alias("id"), F.col(html).alias("html"))
+    ids = smallest_hashes(rows.select("id"), "id", max_pages).distinct()
+    chosen = rows.join(F.broadcast(ids), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(max_pages).collect()
     rng = np.random.Generator(np.random.PCG64(seed))
     x, y = [], []
     for row in [*chosen, None]:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._common import smallest_hashes
 from tessera.llm._text import RangeHash, Texts, U, mix, texts
 from tessera.llm.quality_rules import bigrams
 
@@ -77,7 +78,7 @@ class Model:
 def training_ids(labels: DataFrame, max_train: int) -> DataFrame:
     """At most max_train labelled ids outside the held-out fold: half of each class by the smallest hashes."""
     known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    half = lambda q: known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train // 2)
+    half = lambda q: smallest_hashes(known.where(F.col("quality") == q), "doc_id", max_train // 2)
     return half(0).unionByName(half(1))
 
 
