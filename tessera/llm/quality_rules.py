@@ -2,11 +2,13 @@
 
 A document is kept if its base counts pass and the mean over its hashed word unigrams and bigrams of
 log p(bucket | trusted) - log p(bucket | raw corpus) is at least `threshold`. The raw multinomial counts every n-gram
-of every document. The trusted multinomial counts the documents whose label marks them as good; of those, at most
-`max_target` (the smallest hashes of doc_id) take part, so the id list that is broadcast has a fixed bound.
+of every document, the trusted multinomial those of every document whose label marks it as good. Its prior grows with
+its counts, and the unit of the ratio is set by the trusted documents themselves: each is scored by the counts of the
+other folds, and the low end of those scores is put at the threshold. So neither the size of the input nor the number
+of labels moves the scale.
 
-Defined cases: a null or empty text has no words, fails the base rules and has ratio 0. Without any trusted document
-every ratio is 0, so only the base rules decide (threshold <= 0). Labels of one doc_id that disagree count as their
+Defined cases: a null or empty text has no words, fails the base rules and has ratio 0. Without trusted documents in two
+folds that pass the base rules every ratio is 0, so only the base rules decide (threshold <= 0). Labels of one doc_id that disagree count as their
 smallest. Rows that repeat are scored alike, each for itself. Input columns other than the named ones are not read.
 """
 
@@ -15,15 +17,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import smallest_hashes
+from tessera.llm._common import stored
 from tessera.llm._text import RangeHash, Texts, U, Words, mix, repeated, texts
 
 N_BUCKETS = 1 << 14
+THRESHOLD = -0.045
+#: trusted documents are scored by the other folds; so many of them may fall below the threshold, less a margin
+FOLDS, LOW, MARGIN = 8, 0.002, 0.005
 SYMBOLS = b"#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
@@ -74,48 +78,83 @@ def _buckets(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate([h, pairs]) >> shift).astype(np.int64), np.concatenate([words.text, text])
 
 
-def count_buckets(docs: DataFrame, text: str, target: str) -> pd.DataFrame:
-    """Counts of each bucket over all rows and over those whose `target` is true: N_BUCKETS rows at most."""
+def count_buckets(docs: DataFrame, text: str, fold: str, folds: int = 1) -> np.ndarray:
+    """Counts (folds, N_BUCKETS) of the n-grams of all rows, by a column with the number of the row's fold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(N_BUCKETS, np.int64), np.zeros(N_BUCKETS, np.int64)
+        counts = np.zeros(folds * N_BUCKETS, np.int64)
         for batch in batches:
-            chosen = np.asarray(batch.column(1).fill_null(False))
+            of = np.asarray(batch.column(1), np.int64)
             at = 0
             for t in texts(batch.column(0)):
                 words = t.words()
                 bucket, own = _buckets(words, RangeHash(t.buf).of(words.start, words.end))
-                raw += np.bincount(bucket, minlength=N_BUCKETS)
-                good += np.bincount(bucket[chosen[at : at + len(t)][own]], minlength=N_BUCKETS)
+                counts += np.bincount(of[at : at + len(t)][own] * N_BUCKETS + bucket, minlength=len(counts))
                 at += len(t)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(raw[some]), pa.array(good[some])], ["bucket", "raw", "good"])
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], ["bucket", "n"])
 
-    found = docs.select(F.col(text), F.col(target)).mapInArrow(count, "bucket long, raw long, good long")
-    return found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toPandas()
+    found = docs.select(F.col(text), F.col(fold)).mapInArrow(count, "bucket long, n long")
+    rows = found.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(folds * N_BUCKETS)
+    out[rows["bucket"]] = rows["n"]
+    return out.reshape(folds, N_BUCKETS)
 
 
-def trusted_ids(labels: DataFrame, max_target: int) -> DataFrame:
-    """At most max_target doc_ids with quality 1, by the smallest hashes."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All doc_ids with quality 1."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
-    return smallest_hashes(good.select("doc_id"), "doc_id", max_target)
+    return good.select("doc_id")
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_target: int = 20_000, smoothing: float = 20.0) -> np.ndarray:
-    """Log-likelihood ratio of each bucket, trusted documents against the raw corpus.
+def log_ratio(good: np.ndarray, share: np.ndarray, smoothing: float) -> np.ndarray:
+    """Log ratio of trusted counts against raw shares, with the raw shares as a prior of `smoothing` times the trusted counts."""
+    total = good.sum()
+    return np.log((good / total + smoothing * share) / (1 + smoothing) / share) if total else np.zeros(N_BUCKETS)
 
-    The trusted counts have the raw shares as a prior of `smoothing` counts a bucket, so little evidence means a ratio near 0.
+
+def low_score(trusted: DataFrame, ratios: np.ndarray, usable: np.ndarray) -> float | None:
+    """The LOW quantile of the scores of trusted rows (_text, _fold) that pass the base rules, each by its fold's ratios."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = np.asarray(batch.column(1), np.int64)
+            at = 0
+            for t in texts(batch.column(0)):
+                words, hashes = t.words(), RangeHash(t.buf)
+                h = hashes.of(words.start, words.end)
+                counts = base_counts(t, words, hashes, h)
+                bucket, own = _buckets(words, h)
+                fold = of[at : at + len(t)]
+                mean = np.bincount(own, ratios[fold[own], bucket], minlength=len(t)) / np.maximum(np.bincount(own, minlength=len(t)), 1)
+                passed = (counts["n_words"] >= 50) & (100 * counts["n_repeat_words"] <= 50 * counts["n_words"]) & usable[fold]
+                yield pa.RecordBatch.from_arrays([pa.array(mean[passed])], ["score"])
+                at += len(t)
+
+    scores = trusted.select("_text", "_fold").mapInArrow(score, "score double")
+    return scores.agg(F.percentile_approx("score", F.lit(LOW), F.lit(100_000))).first()[0]
+
+
+def fit_ratio(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", smoothing: float = 1.0) -> np.ndarray:
+    """Log-likelihood ratio of each bucket, trusted documents against the raw corpus, in units that put the threshold at THRESHOLD.
+
+    Equal texts share a fold, so no text is scored by its own copy. The trusted texts come from a shuffled join.
     """
-    ids = trusted_ids(labels, max_target).withColumn("_good", F.lit(True)).withColumnRenamed("doc_id", "_id")
-    marked = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(ids), "_id", "left")
-    counts = count_buckets(marked, "_text", "_good")
-    raw, good = np.zeros(N_BUCKETS), np.zeros(N_BUCKETS)
-    raw[counts["bucket"]], good[counts["bucket"]] = counts["raw"], counts["good"]
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    ids = trusted_ids(labels).withColumnRenamed("doc_id", "_id")
+    fold = F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int").alias("_fold")
+    trusted = stored(rows.join(ids.hint("shuffle_hash"), "_id", "left_semi").select("_text", fold), "quality-trusted")
+    by_fold = count_buckets(trusted, "_text", "_fold", FOLDS)
+    good = by_fold.sum(0)
     if not good.sum():
         return np.zeros(N_BUCKETS)
+    raw = count_buckets(rows.withColumn("_fold", F.lit(0)), "_text", "_fold")[0]
     share = (raw + 0.5) / (raw.sum() + 0.5 * N_BUCKETS)
-    prior = smoothing * N_BUCKETS
-    return np.log(good + prior * share) - np.log(good.sum() + prior) - np.log(share)
+    others = good - by_fold
+    low = low_score(trusted, np.array([log_ratio(g, share, smoothing) for g in others]), others.sum(1) > 0)
+    if low is None:
+        return np.zeros(N_BUCKETS)
+    return log_ratio(good, share, smoothing) * (THRESHOLD / (min(low, 0.0) - MARGIN))
 
 
 def rules(text: Column | str, ratio: np.ndarray) -> Column:
@@ -138,7 +177,7 @@ def rules(text: Column | str, ratio: np.ndarray) -> Column:
     return score(text)
 
 
-def apply_rules(docs: DataFrame, ratio: np.ndarray, *, text: str = "text", threshold: float = -0.045) -> DataFrame:
+def apply_rules(docs: DataFrame, ratio: np.ndarray, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with a struct column `rules`: counts, ratio, base_failed, kept; a column of that name is replaced."""
     out = docs.withColumn("rules", rules(F.col(text), ratio))
     failed = (F.col("rules.n_words") < 50) | (100 * F.col("rules.n_repeat_words") > 50 * F.col("rules.n_words"))

@@ -66,6 +66,27 @@ def test_rules_reject_junk_and_keep_clean(spark):
     assert rows[rows.quality == 1].kept.all()
 
 
+def test_rules_do_not_hang_on_the_label_count(spark):
+    """Junk among many unlabelled texts is rejected with few labels too, and clean texts stay."""
+    rng = np.random.default_rng(5)
+    clean, junk = ([f"{kind}{i}" for i in range(300)] for kind in "cj")
+    text = lambda words: " ".join(rng.choice(words, 200))
+    docs = spark.createDataFrame([(i, text(clean) if i % 5 else text(junk)) for i in range(1_000)], KIND).cache()
+    for n in (20, 200, 800):
+        good = [i for i in range(1_000) if i % 5][:n]
+        labels = spark.createDataFrame([(i, 1, 0) for i in good], "doc_id long, quality int, toxic int")
+        rows = quality_rules.apply_rules(docs, quality_rules.fit_ratio(docs, labels)).select("doc_id", "rules.kept").collect()
+        assert not any(r.kept for r in rows if r.doc_id % 5 == 0)
+        assert np.mean([r.kept for r in rows if r.doc_id % 5]) > 0.95
+
+
+def test_rules_count_every_trusted_document(spark):
+    """A trusted set of over 20,000 ids takes part whole."""
+    ids = spark.range(25_000)
+    labels = ids.selectExpr("id as doc_id", "1 as quality", "0 as toxic")
+    assert quality_rules.trusted_ids(labels).count() == 25_000
+
+
 def test_classifier_on_odd_rows(spark, odd, labels):
     model = quality_classifier.fit(odd, labels)
     out = quality_classifier.classify(odd, model).select("doc_id", "text", "quality_score.*").collect()
