@@ -11,7 +11,7 @@ dress the same blocks in other elements, with sidebars, notices, forms and reade
 the tasks as a few small arrays.
 
 Defined cases: a null or empty html has an empty text. Broken markup is read as far as it goes: unclosed elements end
-with their parent, an unclosed script or style runs to the end. A page without blocks over one half has an empty text.
+with their parent, an unclosed head before what cannot stand in it, an unclosed script or style runs to the end. A page without blocks over one half has an empty text.
 Repeated rows are extracted alike. An empty table gives an empty result, from a labeller trained on new layouts alone.
 """
 
@@ -39,11 +39,14 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_ELEMENTS = frozenset("head script style noscript template iframe object svg canvas math audio video title".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: elements that may stand in a head; any other one, or text, ends an open head
+IN_HEAD = frozenset("title base basefont bgsound link meta script style noscript noframes template".split())
 #: words in tags, classes and ids that tell main text from the rest, for labelling the training pages
 MAIN = frozenset("article main content post entry story".split())
 REST = frozenset("nav menu footer aside sidebar ad ads advert banner cookie notice form comment comments share related breadcrumb".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[A-Za-z/!?][^>]*>", re.S | re.I)
+_TITLE_END = re.compile(r"</title\s*>|(?=</?head\b|<body\b)", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -76,6 +79,8 @@ def blocks(page: str) -> list[Block]:
 
     def text(piece: str) -> None:
         nonlocal links, size
+        if piece and stack and stack[-1][0] == "head" and not piece.isspace():
+            close(len(stack) - 1)
         if piece and not hidden:
             parts.append(piece)
             size += len(piece)
@@ -88,7 +93,7 @@ def blocks(page: str) -> list[Block]:
             linked -= name == "a"
         del stack[k:]
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         name = m[3]
@@ -109,6 +114,18 @@ def blocks(page: str) -> list[Block]:
                 if inline and stack[k][0] not in INLINE:
                     break
             continue
+        if name not in IN_HEAD and stack:
+            # what cannot stand in a head ends an open one, and a block an open title
+            k = len(stack) - 1
+            if stack[k][0] == "title" and not inline and not (k and stack[k - 1][0] == "svg"):
+                close(k)
+                k -= 1
+            if k >= 0 and stack[k][0] == "head":
+                close(k)
+        if name == "title" and not m[4].endswith("/") and (end := _TITLE_END.search(page, at)):
+            # text up to the end tag, whatever it looks like
+            at = end.end()
+            continue
         if not inline:
             # a block ends open inline elements and what it closes by rule
             while stack and (stack[-1][0] in INLINE or stack[-1][0] in CLOSES.get(name, ()) or stack[-1][0] == "p"):

@@ -79,6 +79,28 @@ def test_blocks_follow_the_markup():
     assert found[0].linked == 1.0 and found[1].path[-2] == ("div", "main")
 
 
+def test_omitted_end_tags():
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    body = "<article><h1>A</h1><p>one<p>two</article>"
+    for head in ("<head><title>x</title>", "<head><title>x</title><meta charset=a><link href=b>", "<head><title>x", "<head><title>x <b>y</title><style>p {}</style>", "<head><title>x</title><noscript><img></noscript><script>a</script>"):
+        assert texts(f"<html>{head}<body>{body}") == ["A", "one", "two"]
+        if head.count("title") != 1:
+            assert texts(f"<html>{head}{body}") == ["A", "one", "two"]
+    assert texts(f"<head><title>x{body}") == ["A", "one", "two"]
+    assert texts("<head><title>x</title> plain <b>text</b>") == ["plain text"]
+    assert texts("<head><title>x</title><span>a</span> b") == ["a b"]
+    assert texts("<p>a<svg><title>s</title></svg><p>b") == ["a", "b"]
+
+
+def test_extraction_without_optional_end_tags(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    model = html_extract.fit(pages)
+    bare = pages.withColumn("html", F.regexp_replace("html", "(?i)</(head|body|html|p|li)>", ""))
+    whole = {r.page_id: r.main_text for r in html_extract.extract_pages(pages, model).collect()}
+    got = [r.main_text == whole[r.page_id] for r in html_extract.extract_pages(bare, model).collect()]
+    assert np.mean(got) >= 0.98
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model = html_extract.Labeller.fresh()
