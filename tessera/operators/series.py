@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,37 @@ def tail_midp(df: DataFrame, null: DataFrame, *, value: str, parts: int = 64) ->
     placed = both.withColumn("_inside", inside).where("_ask = 1").join(F.broadcast(sums), "_part")
     p = (F.col("_ahead") + F.col("_inside") + F.col("_null") / F.lit(2.0).cast("double")) / F.col("_all")
     return df.join(placed.select("_v", p.alias("p")), F.col(value) == F.col("_v")).drop("_v")
+
+
+def checkerboard_novelty(df: DataFrame, *, key: str, order: str, vector: str, half: int = 4, width: int = 4096) -> DataFrame:
+    """Per row of a key: key, order, k (its place in the key, from 0) and novelty, a checkerboard of 2 * half rows around it.
+
+    `order` is a long without repeats in a key. Rows are numbered in ranges of it and dealt by (key, bucket of numbers) with the
+    rows that reach in from next door, so a key is many tasks. The kernel is an outer product, so its sum over cosines is the
+    squared norm of one weighted sum of unit vectors.
+    """
+    rows = df.where(F.col(vector).isNotNull() & F.col(order).isNotNull()).select(F.col(key).alias("_k"), F.col(order).cast("long").alias("_o"), F.col(vector).cast("array<double>").alias("_x"))
+    rows = rows.withColumn("_b", F.floor(F.col("_o") / width))
+    before = F.sum("_n").over(Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("_k", "_b").agg(F.count("*").alias("_n")).select(F.col("_k").alias("_sk"), F.col("_b").alias("_sb"), F.coalesce(before, F.lit(0)).alias("_at"))
+    within = F.row_number().over(Window.partitionBy("_k", "_b").orderBy("_o")) - 1
+    numbered = rows.withColumn("_in", within).join(starts, F.col("_k").eqNullSafe(F.col("_sk")) & (F.col("_b") == F.col("_sb"))).withColumn("_i", F.col("_at") + F.col("_in"))
+    # row i is seen by the rows i - half + 1 to i + half
+    seen = F.array_distinct(F.array(*[F.floor((F.col("_i") + s) / width) for s in (1 - half, 0, half)]))
+    dealt = numbered.select("_k", "_o", "_i", "_x", F.explode(seen).alias("_b"))
+    at = np.arange(2 * half)
+    weight = np.where(at < half, -1.0, 1.0) * np.exp(-(((at - half + 0.5) / half) ** 2))
+
+    def score(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_i")
+        i = np.asarray(t.column("_i"))
+        unit = np.array(t.column("_x").to_pylist(), np.float64)
+        unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
+        padded = np.pad(unit, ((half, half), (0, 0)))
+        total = sum(w * padded[k : k + len(unit)] for k, w in enumerate(weight))
+        own = i // width == t.column("_b")[0].as_py()
+        out = t.filter(pa.array(own)).select(["_k", "_o", "_i"]).rename_columns([key, order, "k"])
+        return out.append_column("novelty", pa.array((total[own] ** 2).sum(1)))
+
+    kind = df.select(F.col(key).alias("_k")).schema["_k"].dataType.simpleString()
+    return dealt.groupBy("_k", "_b").applyInArrow(score, f"{key} {kind}, {order} long, k long, novelty double")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays
 from tessera.functions import exprs as x
+from tessera.operators import series
 from tessera.plans.catalogue import register
 from tessera.plans.tables import events, r6, table
 from tessera.sources import store
@@ -108,22 +108,5 @@ def series_rhythm(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def label_novelty(spark: SparkSession, d: str) -> DataFrame:
-    """Novelty along the similarity matrix of each label's first 64 buckets of vectors, bucket means in order of id.
-
-    A label has 64 means at most, whatever its number of vectors.
-    """
-    e = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 64).alias("k"), F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
-    m = e.groupBy("label", "k", "i").agg(F.avg("v").alias("v"))
-    rows = m.groupBy("label", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda z: z["v"]).alias("x"))
-    every = rows.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda z: z["x"]).alias("m"))
-
-    def peaks(m: pa.Array) -> pa.Array:
-        out = []
-        for v in m:
-            a = np.array(v.as_py(), np.float64)
-            a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-12)
-            out.append(arrays.novelty(a @ a.T).tolist())
-        return pa.array(out, pa.list_(pa.float64()))
-
-    find = F.arrow_udf(lambda m: peaks(m), "array<double>")
-    return every.select("label", F.posexplode(find("m")).alias("k", "novelty"))
+    """Novelty at each vector of a label, in order of id, along the similarity matrix of all its vectors."""
+    return series.checkerboard_novelty(table(spark, d, "embeddings"), key="label", order="vec_id", vector="embedding")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, exprs, special
-from tessera.operators import design, folds, joins, robust, windows
+from tessera.operators import design, folds, joins, robust, series, windows
 from tessera.sources.store import ResultStore, narrow, union_rows, wide
 
 
@@ -78,3 +78,22 @@ def test_store_commits_and_pending(spark, tmp_path):
     assert [r.program for r in store.pending(wanted).collect()] == ["r"]
     back = {r.program: r.metrics for r in narrow(store.get().drop("key")).collect()}
     assert back == {"p": {"m": 1.0}, "q": {"n": 2.0}}
+
+
+@pytest.mark.parametrize("width", [8, 4096])
+def test_novelty_of_every_vector(spark, width):
+    """One value a vector, by the whole similarity matrix of a label; a change far into a long label is the peak."""
+    rng = np.random.default_rng(2)
+    rows = [(int(i), "a", (np.array([1.0, 0, 0]) if n < 150 else np.array([0, 1.0, 0])) + 0.05 * rng.standard_normal(3)) for n, i in enumerate(np.sort(rng.choice(1_000, 200, replace=False)))]
+    rows += [(1_000 + i, "b", rng.standard_normal(3)) for i in range(3)] + [(2_000, None, np.zeros(3))]
+    df = spark.createDataFrame([(i, l, v.tolist()) for i, l, v in rows], "vec_id long, label string, embedding array<double>")
+    got = series.checkerboard_novelty(df, key="label", order="vec_id", vector="embedding", width=width).collect()
+    assert len(got) == len(rows)
+    for label in ("a", "b", None):
+        v = np.array([x for _, l, x in rows if l == label])
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        own = sorted((r.k, r.vec_id, r.novelty) for r in got if r.label == label)
+        assert [r[:2] for r in own] == list(enumerate(i for i, l, _ in rows if l == label))
+        assert np.allclose([r[2] for r in own], arrays.novelty(v @ v.T))
+        if label == "a":
+            assert np.argmax([r[2] for r in own]) == 150
