@@ -2,9 +2,12 @@
 
 Texts longer than the largest permitted length are cut into pieces of that length and a rest. Pieces are dealt by a hash
 into groups of bounded expected size, and each group is packed by best fit in decreasing length: a piece goes into the
-open bin with the least room that still holds it; where none does, the permitted length is opened that costs least for
-the piece, judged by the room expected to stay empty: room that the pieces still to come can fill is cheap, room beyond
-their total is not. At the end every bin is downsized to the smallest permitted length that holds its contents.
+open bin with the least room that still holds it. Where none does, all permitted lengths that hold the piece are weighed
+against each other: each one's bin is filled on trial with the largest pieces still to come that fit, and the length is
+opened whose filled bin costs least, in padding for each unit packed (of equal ones the larger, as fewer sequences are
+fewer separators and steps). So a longer bin is opened where the pieces to come fill it better, a shorter one where they do
+not. Pieces of the trial may later find tighter bins; so at the end every bin is downsized to the smallest permitted length
+that holds its contents.
 
 The number of groups grows with the input, so no task holds more than a group, and every piece of every text is packed.
 
@@ -27,6 +30,8 @@ from tessera.llm._common import stored
 
 LENGTHS = (2_048, 4_096, 8_192, 16_384)
 GROUP_PIECES = 8_000
+#: pieces of a trial fill; later ones change the cost of a length little
+TRIAL = 24
 
 
 class _Rooms:
@@ -78,22 +83,47 @@ class _Rooms:
         return room, b
 
 
+def trial_fill(sizes: Sequence[int], falling: Sequence[int], at: int, room: int) -> int:
+    """Units of the largest pieces from place `at` on that fit into a room, one after another, up to TRIAL pieces.
+
+    falling holds the negated sizes, so that it rises.
+    """
+    filled = 0
+    for _ in range(TRIAL):
+        at = bisect_left(falling, -room, at)
+        if at == len(sizes) or not sizes[at]:
+            break
+        filled += sizes[at]
+        room -= sizes[at]
+        at += 1
+    return filled
+
+
+def opened_length(sizes: Sequence[int], falling: Sequence[int], at: int, lengths: Sequence[int]) -> int:
+    """Permitted length (sorted) to open for the piece at a place: the one whose bin, filled on trial, pads least."""
+    size = sizes[at]
+    best = None
+    for c in lengths[bisect_left(lengths, size) :]:
+        used = size + trial_fill(sizes, falling, at + 1, c - size)
+        if used <= lengths[-1] and lengths[bisect_left(lengths, used)] != c:
+            continue  # the pieces to come do not fill it; it would be downsized
+        cost = (c - used) / max(used, 1), -c
+        if best is None or cost < best[0]:
+            best = cost, c
+    return best[1] if best else lengths[bisect_left(lengths, size)]
+
+
 def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and start of each piece, and the length of each bin. sizes must be in decreasing order, none over the largest length."""
-    lengths = sorted(lengths)
-    rooms, left, bins, starts = _Rooms(lengths[-1]), int(sum(sizes)), [], []
+    lengths, sizes = sorted(lengths), [int(x) for x in sizes]
+    falling = [-x for x in sizes]
+    rooms, bins, starts = _Rooms(lengths[-1]), [], []
     used: list[int] = []
-    opened: list[int] = []
-    for size in map(int, sizes):
-        left -= size
+    for at, size in enumerate(sizes):
         found = rooms.take(size)
         if found is None:
-            # cost of a length: what stays empty if the pieces to come fill its room, and a share of what they then fill
-            choices = lengths[bisect_left(lengths, size) :]
-            cost = [(max(0, c - size - left) + (c - size) / (1 + c), c) for c in choices]
-            room, b = min(cost)[1], len(used)
+            room, b = opened_length(sizes, falling, at, lengths), len(used)
             used.append(0)
-            opened.append(room)
         else:
             room, b = found
         bins.append(b)
