@@ -3,8 +3,9 @@
 Features are indicators of hashed word unigrams, word bigrams, word endings (three bytes) and doubled words. Each is scaled by the
 log-count ratio of the two classes, and a linear hinge-loss model is fitted by dual coordinate descent. Its weights are
 interpolated with their mean size, as is usual for this model, and a logistic curve over the margins of the training
-rows, weighted to the class shares of all labels outside the held-out fold, turns margins into scores. Fitting uses at most `max_train` labelled rows (the smallest hashes of doc_id, each class up to
-half where it has so many), so what reaches the driver is bounded; scoring is one pass without a shuffle over every row.
+rows, weighted to the class shares of all labels outside the held-out fold, turns margins into scores. Fitting uses at
+most `max_train` labelled rows (the smallest hashes of doc_id, each class up to half where it has so many) with at most
+`max_bytes` of features together, so what reaches the driver is bounded; scoring is one pass without a shuffle over every row.
 
 Defined cases: a null or empty text has no features and gets the score of the bias alone. Without labelled rows of both
 classes every score is the share of label 1 (0.5 without any). Labels of one doc_id that disagree count as their
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import smallest_hashes
+from tessera.llm._common import smallest_hashes, stored
 from tessera.llm._text import RangeHash, Texts, U, mix, texts
 from tessera.llm.quality_rules import bigrams
 
@@ -82,8 +83,8 @@ def training_ids(labels: DataFrame, max_train: int) -> DataFrame:
     return half(0).unionByName(half(1))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, max_train: int) -> list[tuple[np.ndarray, int]]:
-    """(features, label) of the training rows, ordered by id."""
+def training_rows(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, max_train: int, max_bytes: int) -> list[tuple[np.ndarray, int]]:
+    """(features, label) of the training rows, ordered by id: those with the smallest hashes of the id, up to max_bytes of features."""
     chosen = training_ids(labels, max_train).select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label"))
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
 
@@ -97,15 +98,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, ma
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(t)), batch.column(2).slice(at, len(t)), pa.array(packed, pa.binary())], ["id", "label", "features"])
                 at += len(t)
 
+    # rows of one id are one training row
     read_rows = rows.select("_id", "_text", "_label").mapInArrow(read, "id long, label int, features binary")
-    # rows of one id that repeat are one training row
-    found = read_rows.groupBy("id", "label", "features").count().toPandas().sort_values(["id", "features"], kind="stable")
-    return [(np.frombuffer(f, "<i4"), int(y)) for f, y in zip(found["features"].head(max_train), found["label"].head(max_train))]
+    made = stored(read_rows.groupBy("id", "label").agg(F.min("features").alias("features")), "classifier-rows")
+    sizes = made.select("id", F.xxhash64("id").alias("h"), F.octet_length("features").alias("n")).toPandas().sort_values(["h", "id"])
+    within = sizes["id"][sizes["n"].cumsum() <= max_bytes]
+    found = made.where(F.col("id").isin(within.tolist())) if len(within) < len(sizes) else made
+    found = found.toPandas().sort_values("id", kind="stable")
+    return [(np.frombuffer(f, "<i4"), int(y)) for f, y in zip(found["features"], found["label"])]
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_train: int = 6_000, cost: float = 1.0, epochs: int = 12, interpolation: float = 0.9) -> Model:
-    """Fit on at most max_train labelled documents outside the held-out fold."""
-    rows = training_rows(docs, labels, text, doc_id, max_train)
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", max_train: int = 6_000, max_bytes: int = 128 << 20, cost: float = 1.0, epochs: int = 12, interpolation: float = 0.9) -> Model:
+    """Fit on at most max_train labelled documents outside the held-out fold, with at most max_bytes of features."""
+    rows = training_rows(docs, labels, text, doc_id, max_train, max_bytes)
     y = np.array([label for _, label in rows], np.int64)
     n_features = 1 << BITS
     if len(set(y.tolist())) < 2:

@@ -105,6 +105,17 @@ def test_classifier_held_out(spark):
     assert (held.predicted == held.quality).mean() > 0.85
 
 
+def test_fit_is_bounded_in_bytes(spark, odd):
+    docs = spark.createDataFrame([(i, f"alpha{i} beta gamma " * 50 if i % 2 else f"junk{i} x y") for i in range(1, 200)] + [(7, "another text of an id")], KIND)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 200)], "doc_id long, quality int, toxic int")
+    rows = lambda most: quality_classifier.training_rows(docs, labels, "text", "doc_id", 500, most)
+    every = rows(1 << 20)
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 200))
+    some = rows(2_000)
+    assert 0 < len(some) < len(every) and sum(4 * len(f) for f, _ in some) <= 2_000
+    assert rows(0) == []
+
+
 def test_fit_reads_no_held_out_label(spark, labels):
     ids = [r.doc_id for r in quality_classifier.training_ids(labels, 100).collect()]
     assert all(zlib.crc32(str(i).encode()) % 5 for i in ids)
@@ -146,6 +157,63 @@ def test_packing_is_complete_and_fits(spark, odd):
     assert packing.best_fit(odd.limit(0)).count() == 0
 
 
+def smallest_fit(sizes, lengths):
+    """Room taken by best fit that always opens the smallest length that holds the piece."""
+    bins = []
+    for size in sizes:
+        fits = [b for b in bins if b[0] - b[1] >= size]
+        if fits:
+            min(fits, key=lambda b: b[0] - b[1])[1] += size
+        else:
+            bins.append([min(x for x in lengths if x >= size), size])
+    return sum(min(x for x in lengths if x >= used) for _, used in bins)
+
+
+def least_room(sizes, lengths):
+    """Least room of any packing, by trying all partitions."""
+    if not sizes:
+        return 0
+    first, rest = sizes[0], sizes[1:]
+    best = None
+    for mask in range(1 << len(rest)):
+        used = first + sum(x for i, x in enumerate(rest) if mask >> i & 1)
+        if used <= max(lengths):
+            room = min(x for x in lengths if x >= used) + least_room([x for i, x in enumerate(rest) if not mask >> i & 1], lengths)
+            best = room if best is None else min(best, room)
+    return best
+
+
+def test_lengths_are_chosen_jointly():
+    """Longer bins are opened where the pieces to come fill them, shorter ones where they do not."""
+    assert packing.pack([600] * 4, (700, 1200))[2].tolist() == [1200, 1200]
+    assert packing.pack([600] * 3, (700, 1200))[2].tolist() == [1200, 700]
+    assert packing.pack([700] * 3, (700, 1200))[2].tolist() == [700] * 3
+    rng = np.random.default_rng(4)
+    own = plain = best = 0
+    for _ in range(150):
+        lengths = tuple(sorted(rng.choice(np.arange(20, 120), 3, replace=False).tolist()))
+        sizes = sorted(rng.integers(1, max(lengths) + 1, rng.integers(1, 7)).tolist(), reverse=True)
+        least, made = least_room(sizes, lengths), int(packing.pack(sizes, lengths)[2].sum())
+        assert made >= least
+        own, plain, best = own + made, plain + smallest_fit(sizes, lengths), best + least
+    assert own < plain and own <= 1.06 * best
+
+
+def test_bins_are_downsized_to_their_contents(monkeypatch):
+    """Pieces that the trial counted on go to tighter bins; the length is cut to what the bin holds."""
+    rng, opened, chosen = np.random.default_rng(6), [], packing.opened_length
+    monkeypatch.setattr(packing, "opened_length", lambda *x: opened.append(chosen(*x)) or opened[-1])
+    fewer = 0
+    for _ in range(60):
+        opened.clear()
+        sizes = sorted(rng.integers(20, 400, 60).tolist(), reverse=True)
+        bins, _, final = packing.pack(sizes, (300, 450, 700, 1000))
+        used = np.bincount(bins, weights=sizes)
+        assert all(f == min(x for x in (300, 450, 700, 1000) if x >= u) and f <= o for f, u, o in zip(final, used, opened))
+        fewer += (final < np.array(opened)).sum()
+    assert fewer > 0
+
+
 def test_packing_wastes_little():
     sizes = sorted(np.random.default_rng(2).integers(1, 2000, 4000).tolist(), reverse=True)
     _, _, final = packing.pack(sizes, (512, 1024, 2048))
