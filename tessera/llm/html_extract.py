@@ -325,50 +325,96 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def redressed(main: list[str], rest: list[str], rng: np.random.Generator) -> tuple[str, set[str]]:
-    """A new layout around the given blocks, and the texts of its main blocks."""
+    """A new layout around the given blocks, and the texts of its main blocks.
+
+    Most layouts name their parts in tags, classes or ids; the others have names that mean nothing, or no frame at all.
+    """
     pick = lambda options: options[int(rng.integers(len(options)))]
     some = lambda texts, k: [texts[int(i)] for i in rng.integers(len(texts), size=k)] if texts else []
     esc = html_text.escape
     links = lambda k: "".join(f'<li><a href="/">{esc(x[:20])}</a></li>' for x in some(rest, k))
+    kind = pick(["named", "named", "named", "named", "nameless", "nameless", "bare"])
+    nonsense = lambda: f' {pick(["id", "class"])}="{"".join(chr(97 + int(i)) for i in rng.integers(26, size=int(rng.integers(1, 7))))}{pick(["", "1", "-2"])}"' if rng.random() < 0.9 else ""
+    frame = lambda names: f' class="{pick(names)}"' if kind == "named" else nonsense()
+    comments = lambda: "".join(f"<div class=comment><p>{esc(x)}x</p></div>" for x in some([m[: 20 + len(m) // 2] for m in main], 3))
     extra = [
-        lambda: f'<div class="{pick(["sidebar", "widget", "related-posts"])}"><h3>{esc(pick(rest or ["more"])[:30])}</h3><ul>{links(4)}</ul></div>',
+        lambda: f'<div{frame(["sidebar", "widget", "related-posts"])}><h3>{esc(pick(rest or ["more"])[:30])}</h3><ul>{links(4)}</ul></div>',
         lambda: f"<aside>{''.join(f'<p>{esc(x)}</p>' for x in some(rest, 2))}</aside>",
-        lambda: f'<div class="{pick(["cookie-notice", "notice", "banner"])}"><p>{esc(pick(rest or ["we use cookies"]))}</p></div>',
+        lambda: f'<div{frame(["cookie-notice", "notice", "banner"])}><p>{esc(pick(rest or ["we use cookies"]))}</p></div>',
         lambda: f'<form action="/s"><label>{esc(pick(rest or ["search"])[:20])}</label><input name="q"><button>ok</button></form>',
-        lambda: f'<div class="{pick(["ad", "ads", "advert", "promo"])}">{esc(pick(rest or ["buy"]))}</div>',
-        lambda: f'<{(t := pick(["section", "div"]))} {pick(["id", "class"])}="{pick(["comments", "comment-list", "responses"])}">{"".join(f"<div class=comment><p>{esc(x)}x</p></div>" for x in some([m[: 20 + len(m) // 2] for m in main], 3))}</{t}>',
+        lambda: f'<div{frame(["ad", "ads", "advert", "promo"])}>{esc(pick(rest or ["buy"]))}</div>',
+        lambda: f'<{(t := pick(["section", "div"]))} {pick(["id", "class"])}="{pick(["comments", "comment-list", "responses"])}">{comments()}</{t}>',
     ]
-    body = "".join(f"<{tag}>{esc(x)}</{tag}>" for x, tag in zip(main, [pick(["h1", "h2"]), *[pick(["p", "p", "p", "li", "blockquote"]) for _ in main]]))
-    tag, kind = pick([("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main-content"'), ("div", ' class="post-body"'), ("section", ' class="entry-content"'), ("article", ' class="story"')])
-    head = pick(["", f"<header><a href=/>{esc(pick(rest or ['home'])[:25])}</a></header>", f'<div id="header">{esc(pick(rest or ["home"])[:25])}</div>']) + pick(["<nav><ul>{}</ul></nav>", '<div class="menu"><ul>{}</ul></div>']).format(links(5))
-    before, after = (pick(extra)() for _ in range(2)), [pick(extra)() for _ in range(int(rng.integers(3)))]
-    foot = pick(["<footer>{}</footer>", '<div class="footer"><p>{}</p></div>']).format(esc(pick(rest or ["imprint"])))
-    return f"<html><body>{head}{''.join(before)}<{tag}{kind}>{body}</{tag}>{''.join(after)}{foot}</body></html>", {" ".join(x.split()) for x in main}
+    body = [_element(esc(x), pick, first=not i) for i, x in enumerate(main)]
+    if len(main) > 2 and rng.random() < 0.4:
+        # something that is not text inside the article
+        body.insert(int(rng.integers(1, len(main))), extra[int(rng.integers(1, 4))]())
+    body = "".join(body)
+    if kind == "bare":
+        inner = pick(["{}", "{}", "<center>{}</center>", "<div>{}</div>"]).format(body)
+        around = pick(["", "", f"<p><a href=/>{esc(pick(rest or ['home'])[:25])}</a></p>", f"<ul>{links(3)}</ul>"])
+        return f"<html><head><title>{esc(main[0])}</title></head><body>{around}{inner}</body></html>", {" ".join(x.split()) for x in main}
+    if kind == "named":
+        tag, name = pick([("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="main-content"'), ("div", ' class="post-body"'), ("section", ' class="entry-content"'), ("article", ' class="story"')])
+    else:
+        tag, name = pick(["div", "div", "section", "td", "article"]), nonsense()
+    head = pick(["", f"<header><a href=/>{esc(pick(rest or ['home'])[:25])}</a></header>", f'<div{frame(["header", "top", "masthead"])}>{esc(pick(rest or ["home"])[:25])}</div>', f'<div id="{pick(["header", "top"])}">{esc(pick(rest or ["home"])[:25])}</div>'])
+    menu = pick(["<nav><ul>{}</ul></nav>", f'<div{frame(["menu", "navigation", "links"])}><ul>{{}}</ul></div>', "<nav>{}</nav>"])
+    head += menu.format(links(int(rng.integers(1, 6))) if "ul" in menu else "".join(f'<a href="/">{esc(x[:20])}</a> ' for x in some(rest, int(rng.integers(1, 5)))))
+    before, after = (pick(extra)() for _ in range(int(rng.integers(3)))), [pick(extra)() for _ in range(int(rng.integers(3)))]
+    foot = pick(["<footer>{}</footer>", f'<div{frame(["footer", "imprint", "bottom"])}><p>{{}}</p></div>', f'<div{frame(["footer", "legal"])}>{{}}</div>', ""]).format(esc(pick(rest or ["imprint"])))
+    whole = f"<{tag}{name}>{body}</{tag}>"
+    if tag == "td":
+        whole = f"<table><tr><td{nonsense()}><ul>{links(3)}</ul></td>{whole}</tr></table>"
+    return f"<html><body>{head}{''.join(before)}{whole}{''.join(after)}{foot}</body></html>", {" ".join(x.split()) for x in main}
+
+
+def _element(text: str, pick, first: bool) -> str:
+    """An article's block around a text."""
+    shapes = ["<h1>{}</h1>", "<h2>{}</h2>", "<h1>{}</h1>"] if first else ["<p>{}</p>"] * 6 + ["<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<table><tr><td>{}</td></tr></table>", "<div>{}</div>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>"]
+    return pick(shapes).format(text)
 
 
 #: words for layouts where no page is given
 _PLAIN = ("Some plain words stand here.", "A second sentence follows the first one, and it is longer.", "Home", "About us", "All rights reserved.")
 
 
-def fit(pages: DataFrame, *, html: str = "html", page_id: str = "page_id", max_pages: int = 300, seed: int = 10) -> Labeller:
-    """Train on at most max_pages pages and about max_pages new layouts."""
+def training_pages(pages: DataFrame, html: str, page_id: str, max_pages: int, max_bytes: int) -> list[str]:
+    """Html of at most max_pages pages of at most max_bytes together: those with the smallest hashes of page_id."""
     rows = pages.where(F.col(html).isNotNull() & F.col(page_id).isNotNull()).select(F.col(page_id).alias("id"), F.col(html).alias("html"))
     ids = smallest_hashes(rows.select("id"), "id", max_pages).distinct()
-    chosen = rows.join(F.broadcast(ids), "id").orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(max_pages).collect()
+    # of rows that repeat an id, the one with the smallest hash
+    sized = rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min(F.struct(F.xxhash64("html").alias("h"), F.octet_length("html").alias("n"))).alias("m"))
+    chosen, total = [], 0
+    for r in sized.orderBy(F.xxhash64("id"), "id").select("id", "m.*").collect():
+        total += r["n"]
+        if total > max_bytes:
+            break
+        chosen.append((r["id"], r["h"]))
+    if not chosen:
+        return []
+    wanted = pages.sparkSession.createDataFrame(chosen, rows.select("id", F.lit(0).cast("long").alias("h")).schema)
+    found = rows.withColumn("h", F.xxhash64("html")).join(F.broadcast(wanted), ["id", "h"]).groupBy("id").agg(F.min("html").alias("html"))
+    return [r["html"] for r in found.orderBy(F.xxhash64("id"), "id").collect()]
+
+
+def fit(pages: DataFrame, *, html: str = "html", page_id: str = "page_id", max_pages: int = 300, max_bytes: int = 32 << 20, layouts: int = 2, seed: int = 10) -> Labeller:
+    """Train on at most max_pages pages, of max_bytes together, and about `layouts` times max_pages new layouts."""
+    chosen = training_pages(pages, html, page_id, max_pages, max_bytes)
     rng = np.random.Generator(np.random.PCG64(seed))
     x, y = [], []
-    for row in [*chosen, None]:
-        found = blocks(row["html"]) if row is not None else []
+    for page in [*chosen, None]:
+        found = blocks(page) if page is not None else []
         labels = np.array([weak_label(b.path) for b in found], np.float32)
         main, rest = ([b.text for b, k in zip(found, labels) if k == v] for v in (1, 0))
         if found and main:
             x.append(vectors(found))
             y.append(labels)
-        for _ in range(-(-max_pages // max(len(chosen), 1)) if row is not None else 20):
-            page, true = redressed(main[:30] or list(_PLAIN[:2]), rest[:30] or list(_PLAIN[2:]), rng)
-            made = blocks(page)
-            x.append(vectors(made))
-            y.append(np.array([float(b.text in true and not ({w for p in b.path for w in p} & {"comment", "aside"})) for b in made], np.float32))
+        for _ in range(layouts * -(-max_pages // max(len(chosen), 1)) if page is not None else 20):
+            made, true = redressed(main[:30] or list(_PLAIN[:2]), rest[:30] or list(_PLAIN[2:]), rng)
+            found = blocks(made)
+            x.append(vectors(found))
+            y.append(np.array([float(b.text in true and not ({w for p in b.path for w in p} & {"comment", "aside", "form"})) for b in found], np.float32))
     return Labeller.fresh().train(x, y)
 
 

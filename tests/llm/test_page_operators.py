@@ -137,3 +137,20 @@ def test_new_layouts_leave_the_rest_out(spark):
         right += ((chance > 0.5) == truth).sum()
         total += len(found)
     assert right / total > 0.97
+
+
+def test_layouts_written_by_hand(spark):
+    """Whole main text of pages that no training layout looks like."""
+    from tests.llm.hand_layouts import LAYOUTS
+
+    model = html_extract.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    df = spark.createDataFrame([(i, page) for i, (_, page, _) in enumerate(LAYOUTS)], "page_id long, html string")
+    got = {r.page_id: r.main_text for r in html_extract.extract_pages(df, model).collect()}
+    assert np.mean([got[i] == want for i, (_, _, want) in enumerate(LAYOUTS)]) >= 0.9
+
+
+def test_training_pages_are_bounded(spark):
+    df = spark.createDataFrame([(i, f"<p>{i}</p>" + "x" * 90) for i in range(50)] + [(3, "<p>other</p>"), (None, "n"), (4, None)], "page_id long, html string")
+    pages = lambda n, most: html_extract.training_pages(df, "html", "page_id", n, most)
+    assert len(pages(300, 1 << 20)) == 50 and len(pages(10, 1 << 20)) == 10
+    assert sum(map(len, pages(300, 1_000))) <= 1_000 and pages(300, 10) == []
