@@ -49,7 +49,7 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_dedup import removal_digest
 
-    return removal_digest(_table(spark, sf_dir, "documents"))
+    return removal_digest(_table(spark, sf_dir, "documents"), kept_text=True)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,15 +5,18 @@ A byte goes if a string of `length` (400) bytes that covers it starts at another
 Every window of 400 bytes belongs to the smallest hash of its 32-byte grams, its anchor; consecutive windows with the same
 anchor place form a run, and a run's text holds just its own windows. Equal windows have equal anchors, so only runs
 with an anchor that occurs twice can hold a match, and windows are only compared under one anchor. Runs with equal text
-form a class: a class of two or more runs matches whole. Anchors with several classes are settled on one text of each
-class:
+form a class: a class of two or more runs matches whole. A scan joins the equal runs of a chunk of texts in one row, so
+that a group of copies travels as a few rows, not one a copy, and a periodic text as one row a class, not one a period.
 
-- The texts of whole anchors are put together until a batch is full, and a run-length index of the batch is built: suffix
-  order by prefix doubling, the Burrows-Wheeler transform, its runs, and suffix samples at run ends. Only at run ends
-  are match lengths computed; matching statistics are then streamed in text order, each one less than the last until the
-  next sample. A window start whose longest match with either neighbour in suffix order reaches 400 is marked.
-- Anchors with more than `most_classes` classes (a passage that many texts share) would make one task too large. Their
-  windows are counted by a 128-bit hash instead, in buckets of hashes; this is exact up to collisions of that hash.
+Anchors with several classes are settled on one text of each class by a run-length index. The classes of an anchor are cut
+into parts of about `most_classes`, whole parts are put together until a batch is full, and the index of the batch is
+built: suffix order by prefix doubling, the Burrows-Wheeler transform, its runs, and suffix samples at run ends. Only at
+run ends are match lengths computed; matching statistics are then streamed in text order, each one less than the last
+until the next sample. A window start whose longest match with either neighbour in suffix order reaches 400 is marked.
+
+An anchor with several parts (a passage that very many texts share) may hold windows that match between parts only. Each
+part sends the hashes of its distinct windows, a repeated one once, to buckets of hashes, where windows of two parts meet.
+Run and window equality rest on two 64-bit hashes of different families (a polynomial and XXH3).
 
 Defined cases: a null or empty text, or one under 400 bytes, loses nothing. Matches never cross documents. Rows that
 repeat (same id and text) are places of their own, so their whole text goes if it has 400 bytes; a null id is an id like
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +42,7 @@ GRAM = 32
 BATCH_BYTES = 400_000
 MOST_CLASSES = 400
 BUCKET_WINDOWS = 400_000
-WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc_id", "<i8"), ("th", "<i8"), ("start", "<i4"), ("k", "<i4"), ("copies", "<i8")])
+WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc_id", "<i8"), ("th", "<i8"), ("start", "<i4"), ("k", "<i4"), ("open", "?")])
 SEPARATOR, START = 0xFF, 0x100
 CLASS = ["anchor", "c1", "c2"]
 
@@ -71,22 +75,51 @@ def run_table(t: Texts, length: int = LENGTH) -> dict[str, np.ndarray]:
     stop = np.flatnonzero(inside & ~np.append(inside[1:] & ~new[1:], False)) + 1
     end = stop - 1 + length
     text = np.searchsorted(t.offsets, start, "right") - 1
-    return {"text": text, "start": start - t.offsets[text], "n": stop - start, "anchor": grams[least[start]].view(np.int64), "c1": h.of(start, end).view(np.int64), "c2": RangeHash(t.buf, 1).of(start, end).view(np.int64)}
+    return {"text": text, "start": start - t.offsets[text], "n": stop - start, "anchor": grams[least[start]].view(np.int64), "c1": h.of(start, end).view(np.int64), "c2": second_hash(t.buf, start, end).view(np.int64)}
+
+
+def second_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of byte ranges: of another family than the polynomial hash."""
+    view, of = memoryview(buf), xxhash.xxh3_64_intdigest
+    return np.fromiter((of(view[a:b], 7) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+
+
+def collapsed(runs: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal runs of a chunk: order (runs by class, first places first), first (where classes begin in it), copies."""
+    order = np.lexsort((runs["start"], runs["text"], runs["c2"], runs["c1"], runs["anchor"]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([runs[c][order][1:] != runs[c][order][:-1] for c in CLASS], axis=0)
+    first = np.flatnonzero(new)
+    return order, first, np.diff(np.append(first, len(order)))
 
 
 def window_runs(keyed: DataFrame, length: int) -> DataFrame:
-    """Runs of all documents of keyed (doc_id, th, text)."""
+    """Runs of all documents of keyed (doc_id, th, text), the equal ones of a chunk in one row.
+
+    A row has the first place (doc_id, th, start, n), the class, the number of copies and the places of the others as four
+    lists, null where there are none.
+    """
+    kind = "doc_id long, th long, start int, n int, anchor long, c1 long, c2 long, copies long, docs array<long>, ths array<long>, starts array<int>, ns array<int>"
+    names = [x.split()[0] for x in kind.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
+            ids = [np.asarray(batch.column(c)) for c in (0, 1)]
             for t in texts(batch.column(2)):
                 runs = run_table(t, length)
-                row = pa.array(runs["text"] + at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *(pa.array(runs[k].astype(np.int32)) for k in ("start", "n")), *(pa.array(runs[k]) for k in CLASS)], ["doc_id", "th", "start", "n", *CLASS])
+                order, first, copies = collapsed(runs)
+                row = runs["text"][order] + at
+                place = [ids[0][row], ids[1][row], *(runs[k][order].astype(np.int32) for k in ("start", "n"))]
+                more = np.ones(len(order), bool)
+                more[first] = False
+                ends = np.concatenate([[0], np.cumsum(copies - 1)]).astype(np.int32)
+                offsets = pa.array(ends, mask=np.append(copies == 1, False))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[more])) for x in place]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in place), *(pa.array(runs[k][order][first]) for k in CLASS), pa.array(copies), *lists], names)
                 at += len(t)
 
-    return keyed.select("doc_id", "th", "text").mapInArrow(scan, "doc_id long, th long, start int, n int, anchor long, c1 long, c2 long")
+    return keyed.select("doc_id", "th", "text").mapInArrow(scan, kind)
 
 
 def suffix_order(buf: np.ndarray, depth: int) -> np.ndarray:
@@ -177,13 +210,14 @@ def ranges(flags: np.ndarray) -> list[int]:
 
 
 def _slices(keyed: DataFrame, classes: DataFrame, length: int) -> DataFrame:
-    """Text of one run of each class: classes has anchor, c1, c2, copies, k and rep (doc_id, th, start, n)."""
-    wanted = classes.select(*CLASS, "copies", "k", "rep.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct(*CLASS, "copies", "k", "start", "n")).alias("runs"))
+    """Text of one run of each class: classes has anchor, copies, parts, part and rep (doc_id, th, start, n)."""
+    about = ["anchor", "copies", "parts", "part"]
+    wanted = classes.select(*about, "rep.*").groupBy("doc_id", "th").agg(F.collect_list(F.struct(*about, "start", "n")).alias("runs"))
     # a row that repeats is cut twice; that only repeats texts of classes with copies, which match whole anyway
     joined = keyed.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "z", "runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), *((c, pa.int64()) for c in (*CLASS, "copies", "k")), ("start", pa.int32()), ("n", pa.int32()), ("slice", pa.binary())])
+        kind = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), *((c, pa.int64()) for c in about), ("start", pa.int32()), ("n", pa.int32()), ("slice", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 rows = []
@@ -192,7 +226,7 @@ def _slices(keyed: DataFrame, classes: DataFrame, length: int) -> DataFrame:
                     rows += [r | {"doc_id": doc, "th": th, "slice": data[r["start"] : r["start"] + r["n"] - 1 + length]} for r in runs]
                 yield from pa.Table.from_pylist(rows, kind).to_batches(max_chunksize=4096)
 
-    return joined.mapInArrow(cut, "doc_id long, th long, anchor long, c1 long, c2 long, copies long, k long, start int, n int, slice binary")
+    return joined.mapInArrow(cut, "doc_id long, th long, anchor long, copies long, parts long, part long, start int, n int, slice binary")
 
 
 def packed(column: pa.Array) -> pa.Array:
@@ -221,20 +255,28 @@ def zipped(text: Column) -> Column:
 
 
 def _indexed(slices: DataFrame, length: int) -> DataFrame:
-    """Marked ranges of the single classes, whole anchors a batch: doc_id, th, start, marked."""
+    """Marked ranges of the single classes (doc_id, th, start, marked), whole parts of anchors a batch.
+
+    For parts of an anchor that has several, `hashes` holds the windows that may match in another part, packed.
+    """
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        found = marked_windows([r[6] for r in rows], np.array([r[5] for r in rows]), length)
+        out = [(r[0], r[1], r[4], ranges(f), None) for r, f in zip(rows, found) if r[3] == 1 and f.any()]
+        split: dict[tuple, list[int]] = {}
+        for i, r in enumerate(rows):
+            if r[7] > 1:
+                split.setdefault((r[2], r[8]), []).append(i)
+        out += [(0, 0, 0, None, distinct_windows([rows[i] for i in own], [found[i] for i in own], length)) for own in split.values()]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["doc_id", "th", "start", "marked", "hashes"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-
-        def settle(part: list[tuple]) -> pa.RecordBatch:
-            found = marked_windows([r[6] for r in part], np.array([r[5] for r in part]), length)
-            out = [(r[0], r[1], r[4], ranges(f)) for r, f in zip(part, found) if r[3] == 1 and f.any()]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())))], ["doc_id", "th", "start", "marked"])
-
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "anchor", "copies", "start", "n", "slice"))):
-                if size >= BATCH_BYTES and row[2] != rows[-1][2]:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "anchor", "copies", "start", "n", "slice", "parts", "part"))):
+                if size >= BATCH_BYTES and (row[2], row[8]) != (rows[-1][2], rows[-1][8]):
                     yield settle(rows)
                     rows, size = [], 0
                 rows.append(row)
@@ -242,54 +284,58 @@ def _indexed(slices: DataFrame, length: int) -> DataFrame:
         if rows:
             yield settle(rows)
 
-    dealt = slices.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(mark, "doc_id long, th long, start int, marked array<int>")
+    dealt = slices.repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    return dealt.mapInArrow(mark, "doc_id long, th long, start int, marked array<int>, hashes binary")
 
 
-def _counted(slices: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many classes, by window hashes.
+def distinct_windows(rows: list[tuple], found: list[np.ndarray], length: int) -> bytes:
+    """The distinct windows of one part as packed WINDOW records.
 
-    Hashes travel as packed lists, one a bucket of hashes and part of slices; buckets are as many as keep each small.
+    A window is open if it belongs to a single class and occurs once in the part: it alone still waits for a match.
     """
-    total = slices.agg(F.sum("n")).first()[0] or 0
-    n_buckets = max(64, -(-total // BUCKET_WINDOWS))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes = np.array([len(r[6]) for r in rows])
+    buf = np.frombuffer(b"".join(r[6] for r in rows), np.uint8)
+    n = np.array([r[5] for r in rows])
+    row = np.repeat(np.arange(len(rows)), n)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    place = (np.cumsum(sizes) - sizes)[row] + k
+    w = np.zeros(len(row), WINDOW)
+    w["h1"], w["h2"] = RangeHash(buf).of(place, place + length), second_hash(buf, place, place + length)
+    for i, c in ((0, "doc_id"), (1, "th"), (4, "start")):
+        w[c] = np.array([r[i] for r in rows])[row]
+    w["k"], w["open"] = k, np.array([r[3] == 1 for r in rows])[row] & ~np.concatenate(found)
+    w = w[np.lexsort((w["h2"], w["h1"]))]
+    return w[np.insert((w["h1"][1:] != w["h1"][:-1]) | (w["h2"][1:] != w["h2"][:-1]), 0, True)].tobytes()
+
+
+def _met(parts: DataFrame, n_buckets: int) -> DataFrame:
+    """Marked ranges of open windows that occur in another part too."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for t in texts(batch.column("slice")):
-                part = batch.slice(at, len(t))
-                at += len(t)
-                n = np.asarray(part.column("n"))
-                row = np.repeat(np.arange(len(t)), n)
-                k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                place = t.offsets[:-1][row] + k
-                h1, h2 = (RangeHash(t.buf, w).of(place, place + length) for w in (0, 1))
-                bucket = (h1 >> U(20)) % U(n_buckets)
-                found = np.zeros(len(row), WINDOW)
-                for c in ("doc_id", "th", "start", "copies"):
-                    found[c] = np.asarray(part.column(c))[row]
-                found["k"], found["h1"], found["h2"] = k, h1, h2
+            for x in batch.column(0):
+                w = np.frombuffer(x.as_py(), WINDOW)
+                bucket = (w["h1"] >> U(20)) % U(n_buckets)
                 order = np.argsort(bucket, kind="stable")
-                found, bucket = found[order], bucket[order]
-                cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(row) else np.empty(0, np.int64)
-                lists = [found[x:y].tobytes() for x, y in zip(cut, np.append(cut[1:], len(row)))]
+                w, bucket = w[order], bucket[order]
+                cut = np.flatnonzero(np.insert(bucket[1:] != bucket[:-1], 0, True))
+                lists = [w[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(w)))]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int64)), pa.array(lists, pa.binary())], ["bucket", "windows"])
 
-    def count(table: pa.Table) -> pa.Table:
+    def meet(table: pa.Table) -> pa.Table:
         w = np.frombuffer(b"".join(table.column("windows").to_pylist()), WINDOW)
         w = w[np.lexsort((w["h2"], w["h1"]))]
         same = (w["h1"][1:] == w["h1"][:-1]) & (w["h2"][1:] == w["h2"][:-1])
-        w = w[(np.append(same, False) | np.insert(same, 0, False)) & (w["copies"] == 1)]
+        w = w[(np.append(same, False) | np.insert(same, 0, False)) & w["open"]]
         w = w[np.lexsort((w["k"], w["start"], w["th"], w["doc_id"]))]
         own = ["doc_id", "th", "start"]
-        cut = np.flatnonzero(np.concatenate([[True], w[own][1:] != w[own][:-1]])) if len(w) else np.empty(0, np.int64)
+        cut = np.flatnonzero(np.insert(w[own][1:] != w[own][:-1], 0, True)) if len(w) else np.empty(0, np.int64)
         edges = np.stack([w["k"], w["k"] + 1], 1).ravel()
         marked = pa.ListArray.from_arrays(pa.array(np.append(2 * cut, 2 * len(w)).astype(np.int32)), pa.array(edges.astype(np.int32)))
         return pa.table({c: pa.array(w[c][cut]) for c in own} | {"marked": marked})
 
-    windows = slices.repartition("doc_id", "th", "start").mapInArrow(hashed, "bucket long, windows binary")
-    return windows.groupBy("bucket").applyInArrow(count, "doc_id long, th long, start int, marked array<int>")
+    windows = parts.select("hashes").mapInArrow(deal, "bucket long, windows binary")
+    return windows.groupBy("bucket").applyInArrow(meet, "doc_id long, th long, start int, marked array<int>")
 
 
 def span_id(doc_id: Column) -> Column:
@@ -306,18 +352,25 @@ def find_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
     long_enough = keyed.where(F.octet_length("text") >= length)
     runs = stored(window_runs(long_enough, length), "suffix-runs")
     # written first: both sides of the join are then plain exchanges, whose large partitions Spark can split
-    repeated = stored(runs.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1").select("anchor"), "suffix-repeated")
+    repeated = stored(runs.groupBy("anchor").agg(F.sum("copies").alias("places")).where("places > 1").select("anchor"), "suffix-repeated")
     hits = stored(runs.join(repeated, "anchor"), "suffix-hits")
-    classes = stored(hits.groupBy(*CLASS).agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n")).alias("rep")), "suffix-classes")
-    contested = classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1")
+    classes = stored(hits.groupBy(*CLASS).agg(F.sum("copies").alias("copies"), F.min(F.struct("doc_id", "th", "start", "n")).alias("rep")), "suffix-classes")
+    contested = stored(classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1"), "suffix-contested")
+    parts = F.ceil(F.col("k") / most_classes)
+    dealt = classes.join(contested, "anchor").withColumn("parts", parts).withColumn("part", F.pmod(F.col("c2"), F.col("parts")))
     texts_of = keyed.where(F.octet_length("text") >= length).select("doc_id", "th", zipped(F.col("text")).alias("z"))
-    slices = stored(_slices(texts_of, classes.join(contested, "anchor"), length), "suffix-slices")
-    few = _indexed(slices.where(F.col("k") <= most_classes), length)
-    many = _counted(slices.where(F.col("k") > most_classes), length)
-    single = few.unionByName(many.select("doc_id", "th", "start", "marked"))
-    parts = F.transform(F.sequence(F.lit(0), (F.size("marked") / 2 - 1).cast("int")), lambda i: F.struct((F.col("start") + F.get("marked", 2 * i)).alias("b"), (F.col("start") + F.get("marked", 2 * i + 1) - 1 + length).alias("e")))
-    some = single.select("doc_id", "th", parts.alias("s"))
-    whole = hits.join(classes.where("copies > 1").select(*CLASS), CLASS).select("doc_id", "th", F.array(F.struct(F.col("start").alias("b"), (F.col("start") + F.col("n") - 1 + length).alias("e"))).alias("s"))
+    found = stored(_indexed(_slices(texts_of, dealt, length), length), "suffix-marked")
+    hashed = found.where("hashes is not null")
+    total = hashed.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    met = _met(hashed, max(64, -(-total // (BUCKET_WINDOWS * WINDOW.itemsize))))
+    single = found.where("marked is not null").drop("hashes").unionByName(met)
+    edges = F.transform(F.sequence(F.lit(0), (F.size("marked") / 2 - 1).cast("int")), lambda i: F.struct((F.col("start") + F.get("marked", 2 * i)).alias("b"), (F.col("start") + F.get("marked", 2 * i + 1) - 1 + length).alias("e")))
+    some = single.select("doc_id", "th", edges.alias("s"))
+    copied = hits.join(classes.where("copies > 1").select(*CLASS), CLASS)
+    others = F.transform(F.arrays_zip("docs", "ths", "starts", "ns"), lambda p: F.struct(p["docs"].alias("doc_id"), p["ths"].alias("th"), p["starts"].alias("start"), p["ns"].alias("n")))
+    place = F.array(F.struct("doc_id", "th", "start", "n"))
+    copied = copied.select(F.explode(F.when(F.col("docs").isNull(), place).otherwise(F.concat(place, others))).alias("p")).select("p.*")
+    whole = copied.select("doc_id", "th", F.array(F.struct(F.col("start").alias("b"), (F.col("start") + F.col("n") - 1 + length).alias("e"))).alias("s"))
     return some.unionByName(whole).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
 
@@ -342,33 +395,46 @@ def _span_lists(column: pa.Array) -> Iterator[np.ndarray]:
         yield merged(np.array([(s["b"], s["e"]) for s in x.as_py()], np.int64)) if x.is_valid else np.empty((0, 2), np.int64)
 
 
-def removal_digest(docs: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def removal_digest(docs: DataFrame, *, kept_text: bool = False, **options) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with kept_text the text that stays.
+
+    A character that a cut leaves in part is not in that text; the digest is of the bytes.
+    """
     spans = find_spans(docs, **options)
     text, doc_id = F.coalesce(F.col(options.get("text", "text")), F.lit("")), F.col(options.get("doc_id", "doc_id"))
     keyed = docs.select(doc_id.cast("long").alias("doc_id"), span_id(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), zipped(text).alias("z"))
     joined = keyed.join(spans.withColumnsRenamed({"doc_id": "_id", "th": "_th", "spans": "_spans"}), ["_id", "_th"], "left")
-    kind = pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    kind = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string())] * kept_text
 
-    @F.arrow_udf("struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string>")
+    @F.arrow_udf("struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string" + ", text: string" * kept_text + ">")
     def digest(z: pa.Array, spans: pa.Array) -> pa.Array:
         rows = []
         for x, s in zip(z, _span_lists(spans)):
             data = unpacked(x.as_py())
             kept = kept_bytes(data, s)
             rows.append({"n_bytes": len(data), "n_removed": len(data) - len(kept), "n_spans": len(s), "kept_sha256": hashlib.sha256(kept).hexdigest()})
-        return pa.array(rows, kind)
+            if kept_text:
+                rows[-1]["text"] = kept.decode("utf-8", "ignore")
+        return pa.array(rows, pa.struct(kind))
 
     return joined.select("doc_id", digest("z", "_spans").alias("d")).select("doc_id", "d.*")
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """docs with the repeated bytes cut out of the text; a character that a cut leaves in part goes as a whole."""
+def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", min_words: int = 0, **options) -> DataFrame:
+    """docs with the repeated bytes cut out of the text; a character that a cut leaves in part goes as a whole.
+
+    min_words: a maximal repeated run of fewer words (or parts of words) than that stays.
+    """
     spans = find_spans(docs, text=text, doc_id=doc_id, **options)
 
+    def without(value: str, spans: np.ndarray) -> str:
+        data = value.encode()
+        wide = [len(data[a:b].split()) >= min_words for a, b in spans.tolist()]
+        return kept_bytes(data, spans[np.array(wide, bool)]).decode("utf-8", "ignore")
+
     @F.arrow_udf("string")
     def cut(column: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([None if not x.is_valid else kept_bytes(x.as_py().encode(), s).decode("utf-8", "ignore") for x, s in zip(column, _span_lists(spans))], pa.string())
+        return pa.array([without(x.as_py(), s) if x.is_valid else None for x, s in zip(column, _span_lists(spans))], pa.string())
 
     # a row travels as one struct, so no name of its own can clash
     keyed = docs.select(F.struct("*").alias("row"), span_id(F.col(doc_id)).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_th"))
