@@ -112,29 +112,30 @@ def _blocked(rows: DataFrame, large: DataFrame, radius: int, block: int) -> Data
     return dealt.groupBy("side", "cell", "i", "j").applyInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, fp (signed long), component_id (smallest id reachable by links), root (a fingerprint of the component)."""
-    made = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "simhash")
+def _with_components(made: DataFrame) -> DataFrame:
+    """made (doc_id, fp, ...) with component_id (smallest id reachable by links) and root (a fingerprint of the component)."""
     distinct = stored(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = connected_components(linked_pairs(distinct.select("fp")), "a", "b")
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return made.join(classes.select("fp", "root").join(least, "root"), "fp").select("doc_id", "fp", "component_id", "root")
+    return made.join(classes.select("fp", "root").join(least, "root"), "fp")
+
+
+def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Per row: doc_id, fp (signed long), component_id (smallest id reachable by links), root (a fingerprint of the component)."""
+    made = stored(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp")), "simhash")
+    return _with_components(made).select("doc_id", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of docs for each group: the smallest id, of rows with that id the smallest fingerprint, of those any one.
 
-    A row with a null id stays only where its group has no other id.
+    A row with a null id stays only where its group has no other id. Rows are written once with a number and their
+    fingerprint; the numbers that go are a narrow table, whose size decides whether Spark broadcasts it or shuffles the rows.
     """
-    found = near_duplicates(docs, text=text, doc_id=doc_id).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("root").agg(F.min(F.struct("fp", "doc_id")).alias("m")).select(F.col("m.fp").alias("_fp"), *_id_parts(F.col("m.doc_id")))
     # a row travels as one struct, so no name of its own can clash
-    keyed = docs.select(F.struct("*").alias("row"), fingerprint(F.col(text)).alias("_fp"), *_id_parts(F.col(doc_id)))
-    key = ["_id", "_null", "_fp"]
-    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")
-
-
-def _id_parts(doc_id: Column) -> tuple[Column, Column]:
-    """An id as a value and a null mark, for joins that must match nulls."""
-    return F.coalesce(doc_id.cast("long"), F.lit(0).cast("long")).alias("_id"), doc_id.isNull().alias("_null")
+    rows = stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_row"), fingerprint(F.col(text)).alias("fp")), "simhash-rows")
+    found = stored(_with_components(rows.select("_row", F.col("row").getField(doc_id).alias("doc_id"), "fp")), "simhash-found")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "_row")).alias("m"))
+    dropped = stored(found.select("_row").join(first.select("m._row"), "_row", "left_anti"), "simhash-dropped")
+    return rows.join(dropped, "_row", "left_anti").select("row.*")
