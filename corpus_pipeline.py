@@ -40,10 +40,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.keep_one(docs)
 
 
+#: a repeated passage is one of at least this many words; byte strings of so many words of three letters and a space
+#: are sought, as the index works on bytes. (The 400 bytes of the op9 query bind that query; many passages are shorter.)
+PASSAGE_WORDS = 50
+PASSAGE_BYTES = 200
+
+
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the byte strings that they share; n_chars follows the text."""
+    """Documents without the passages that they share; n_chars follows the text."""
     ship(spark)
-    out = suffix_dedup.remove_repeats(docs)
+    out = suffix_dedup.remove_repeats(docs, length=PASSAGE_BYTES, min_words=PASSAGE_WORDS)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
 
 
