@@ -87,7 +87,7 @@ def test_simhash_dense_groups(spark, block):
     assert [got.get(x, x) for x in f] == [f[r] for r in want]
 
 
-def removal(texts, length):
+def removal(texts, length, min_words=0):
     data = [(t or "").encode() for t in texts]
     count = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
     out = []
@@ -96,6 +96,9 @@ def removal(texts, length):
         for i in range(len(d) - length + 1):
             if count[d[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
+        for m in re.finditer(rb"\x01+", bytes(gone)) if min_words else ():
+            if len(d[m.start() : m.end()].split()) < min_words:
+                gone[m.start() : m.end()] = bytes(m.end() - m.start())
         spans = sum(1 for i in range(len(gone)) if gone[i] and not (i and gone[i - 1]))
         out.append((len(d), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(d, gone) if not g)).hexdigest()))
     return out
@@ -122,6 +125,41 @@ def test_suffix_removal_equals_brute_force(spark, most_classes):
     assert suffix_dedup.removal_digest(df.limit(0)).count() == 0
 
 
+def test_suffix_removal_of_periodic_and_shared_texts(spark):
+    """A long periodic text, and one passage in a third of all texts with a context of its own in each."""
+    random.seed(8)
+    letters = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage = letters(700)
+    docs = ["ab" * 100_000, "abc" * 2_000, letters(900)] + [letters(random.randrange(20, 300)) + (passage if i % 3 == 0 else "") + letters(300) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(7)
+    for most_classes in (8, 400):
+        got = suffix_dedup.removal_digest(df, most_classes=most_classes, kept_text=True).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((i, *w) for i, w in enumerate(removal(docs, 400)))
+        assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in got)
+
+
+def test_equal_runs_of_a_chunk_are_one_row(spark):
+    df = spark.createDataFrame([(i, i, "ab" * 20_000) for i in range(3)], "doc_id long, th long, text string").coalesce(1)
+    runs = suffix_dedup.window_runs(df, 400).collect()
+    assert len(runs) < 50 and sum(r.copies * r.n for r in runs) == 3 * (40_000 - 399)
+    assert all((r.docs is None) == (r.copies == 1) and (r.docs is None or len(r.docs) == r.copies - 1) for r in runs)
+
+
+@pytest.mark.parametrize("length", [200])
+def test_passages_of_fifty_words_go_and_shorter_ones_stay(spark, length):
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefghij") for _ in range(random.randrange(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    wide, short = text(55), text(44)
+    assert length <= len(short) < len(wide) < 400
+    docs = [text(30) + "\n" + (wide if i % 2 else short) + "\n" + text(30) for i in range(8)] + [text(200)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in suffix_dedup.remove_repeats(df, length=length, min_words=50).collect()}
+    for i, d in enumerate(docs[:8]):
+        assert (wide in d) != (out[i] == d) and wide not in out[i]
+    assert out[8] == docs[8]
+
+
 def test_repeats_are_cut_from_texts(spark):
     passage = "é" * 10 + "".join(chr(97 + i * 7 % 26) for i in range(500))
     df = spark.createDataFrame([(1, "one " + passage + " end"), (2, "two " + passage), (3, "clean text"), (4, None)], "doc_id long, text string").withColumn("spans", F.lit(1))
@@ -169,6 +207,28 @@ def test_embedding_links(spark, block):
     assert embedding_dedup.link_components(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_at_default_parameters(spark):
+    """Planted links at cosines of 0.90 to 0.95 among unrelated vectors: recall against brute force, and no link below 0.9."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((6_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(1_500):
+        other = rng.standard_normal(64)
+        other -= other @ x[i] * x[i]
+        c = rng.uniform(0.9, 0.95)
+        x[3_000 + i] = c * x[i] + np.sqrt(1 - c * c) * other / np.linalg.norm(other)
+    x = x.astype(np.float32)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    close = np.triu(u @ u.T >= 0.9, 1)
+    links = list(zip(*np.nonzero(close)))
+    degree = Counter(int(k) for pair in links for k in pair)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embedding_dedup.link_components(df).collect()}
+    assert all(got[i].n_links <= degree[i] for i in got)
+    assert sum(r.n_links for r in got.values()) >= 0.95 * 2 * len(links) and len(links) > 1_000
+
+
 def test_recall_is_calibrated():
     rounds = embedding_dedup.rounds_needed(0.9, 6, 2.0, 2, 0.95)
     rng = np.random.default_rng(1)
@@ -201,7 +261,7 @@ def test_pipeline_stages(spark):
             roots = components(len(p), [(i, j) for i in range(len(p)) for j in range(i) if (p[i] ^ p[j]).bit_count() <= 3])
             assert sorted(after.doc_id) == sorted(set(smallest(before.doc_id.tolist(), roots)))
         if name == "suffix_dedup":
-            want = dict(zip(before.doc_id, removal(before.text.tolist(), 400)))
+            want = dict(zip(before.doc_id, removal(before.text.tolist(), corpus_pipeline.PASSAGE_BYTES, corpus_pipeline.PASSAGE_WORDS)))
             # a cut inside a character takes the whole character
             assert all(abs(len(t.encode()) - (want[i][0] - want[i][1])) <= 6 * (want[i][2] + 1) and (want[i][1] or t == b) for i, t, b in zip(after.doc_id, after.text, after.doc_id.map(dict(zip(before.doc_id, before.text)))))
             assert (after.n_chars == after.text.str.len()).all()
