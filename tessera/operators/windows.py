@@ -55,6 +55,23 @@ def midrank(df: DataFrame, *, key: list[str], value: str) -> DataFrame:
     return df.join(ranked, [*key, value])
 
 
+def pooled_midrank(df: DataFrame, *, value: str, ranges: int = 64) -> DataFrame:
+    """df with `midrank` in [0, 1] over all rows together: ties share the mean of their ranks, a lone row has 0.5.
+
+    Distinct values are dealt by ranges, ranked within their range, and moved up by the rows of the ranges before, so no
+    task sees more than a range; only the ranges' row counts meet in one window.
+    """
+    edges = df.agg(F.percentile_approx(value, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(10_000)).alias("_e"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")).join(F.broadcast(edges))
+    counts = counts.withColumn("_range", F.size(F.filter("_e", lambda x: x < F.col(value)))).drop("_e")
+    own = counts.groupBy("_range").agg(F.sum("_n").alias("_rows"))
+    before = own.select("_range", (F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")).alias("_before"), F.sum("_rows").over(Window.partitionBy()).alias("_all"))
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.col("_before") + F.col("_below") + (F.col("_n") - 1) / F.lit(2.0).cast("double")
+    ranked = counts.withColumn("_below", below).join(F.broadcast(before), "_range")
+    return df.join(ranked.select(value, F.when(F.col("_all") > 1, rank / (F.col("_all") - 1).cast("double")).otherwise(F.lit(0.5)).alias("midrank")), value)
+
+
 def rank_bins(df: DataFrame, *, value: str, bins: int) -> DataFrame:
     """df with `bin`: distinct values in rank order, cut into `bins` equal shares."""
     w = Window.orderBy(value)
