@@ -49,12 +49,28 @@ class ResultStore:
             return self.spark.createDataFrame([], kind)
 
     def put(self, rows: DataFrame, *, firmware: str = "firmware") -> None:
-        """Write the rows of each program, then commit its key; a program without rows is not committed."""
+        """Write the rows of each program under its key, then commit the key; what lay under the key before is replaced.
+
+        So a run that ended between data and commit, and is repeated, leaves its rows once. Rows without any are an error; a
+        program without rows is not committed. The commit counts what was written.
+        """
+        if rows.isEmpty():
+            raise ValueError("no rows to store")
         keyed = rows.withColumn("key", content_key(F.col("program"), F.lit("name_firmware"), F.col(firmware)))
-        # read back from what was written, so that the commit counts what a reader will see
-        keyed.write.mode("append").partitionBy("program", "key").parquet(f"{self.path}/data")
-        counts = keyed.groupBy("program", "key").agg(F.count("*").alias("rows"))
-        counts.select("program", "key", "rows", F.lit(SCHEMA_VERSION).alias("schema_version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{self.path}/commits")
+        keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("program", "key").parquet(f"{self.path}/data")
+        keys = keyed.select("program", "key").distinct()
+        written = self._data().join(keys, ["program", "key"], "left_semi").groupBy("program", "key").agg(F.count("*").alias("rows"))
+        written.select("program", "key", "rows", F.lit(SCHEMA_VERSION).alias("schema_version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{self.path}/commits")
+
+    def _data(self) -> DataFrame:
+        data = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/data")
+        return data.withColumns({c: F.col(c).cast("string") for c in ("program", "key")})
+
+    def has(self, wanted: DataFrame) -> DataFrame:
+        """wanted (program, firmware) with `stored`: is it committed under its key?"""
+        keyed = wanted.withColumn("key", content_key(F.col("program"), F.lit("name_firmware"), F.col("firmware")))
+        known = self.committed().select("program", "key", F.lit(True).alias("stored"))
+        return keyed.join(known, ["program", "key"], "left").withColumn("stored", F.coalesce("stored", F.lit(False))).drop("key")
 
     def committed(self) -> DataFrame:
         """Latest usable commit of each program; those of a newer schema are passed over."""
@@ -63,8 +79,7 @@ class ResultStore:
 
     def get(self) -> DataFrame:
         """Rows under committed keys."""
-        data = self.spark.read.option("mergeSchema", True).parquet(f"{self.path}/data")
-        return data.join(self.committed().select("program", "key"), ["program", "key"], "left_semi")
+        return self._data().join(self.committed().select("program", "key"), ["program", "key"], "left_semi")
 
     def pending(self, wanted: DataFrame) -> DataFrame:
         """Rows of wanted (program, firmware) without a commit under their key."""
