@@ -77,7 +77,7 @@ def change_counter(spark: SparkSession, d: str) -> DataFrame:
     return o.withColumn("total", total).select("o_orderkey", F.expr("total div 1000000000 - (total - n) div 1000000000").alias("changes"))
 
 
-@register(_E.replace("WITH e", "WITH RECURSIVE e") + """,
+LIMITER_SQL = _E.replace("WITH e", "WITH RECURSIVE e") + """,
 o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id, value) AS k FROM e),
 f AS (SELECT user_id, k, t + 43200000000 AS due, cast(NULL AS DOUBLE) AS wait, t AS s1, value AS v1, cast(NULL AS BIGINT) AS s0, cast(NULL AS DOUBLE) AS v0 FROM o WHERE k = 1
 UNION ALL SELECT o.user_id, o.k,
@@ -85,7 +85,10 @@ UNION ALL SELECT o.user_id, o.k,
  FROM (SELECT *, due AS dd FROM f) f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1, LATERAL (SELECT f.wait IS NOT NULL AND o.t >= f.due AS out) x, LATERAL (SELECT CASE WHEN x.out THEN f.due + 43200000000 ELSE f.due END AS d) y),
 z AS (SELECT user_id, max(k) AS k FROM o GROUP BY 1)
 SELECT user_id, s1 AS at, v1 AS value FROM f WHERE s1 IS NOT NULL UNION ALL SELECT user_id, s0, v0 FROM f WHERE s0 IS NOT NULL UNION ALL SELECT f.user_id, f.due, f.wait FROM f JOIN z USING (user_id, k) WHERE f.wait IS NOT NULL
-""")
+"""
+
+
+@register(LIMITER_SQL)
 def limiter(spark: SparkSession, d: str) -> DataFrame:
     """At most one event of a user in twelve hours, the latest waiting one deferred."""
     return folds.limiter(events(spark, d), key=["user_id"], time="t", tie="event_id", value="value", gap=12 * HOUR)
@@ -132,15 +135,15 @@ def flash_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("""
-WITH RECURSIVE c AS (SELECT l_linenumber AS g, l_returnflag AS s, avg(l_discount) * 100 AS c FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1, 2),
+WITH RECURSIVE c AS (SELECT l_linenumber AS g, l_returnflag AS s, avg(l_discount) * 100 AS c FROM lineitem GROUP BY 1, 2),
 p AS (SELECT 1 AS g, s, c AS total, s AS path FROM c WHERE g = 1
 UNION ALL SELECT p.g + 1, c.s, p.total + c.c + CASE WHEN c.s = p.s THEN 0 ELSE 0.05 END, p.path || '>' || c.s FROM p JOIN c ON c.g = p.g + 1)
-SELECT round(total, 6) AS total, path FROM p WHERE g = 5 ORDER BY total, path LIMIT 1
+SELECT round(total, 6) AS total, path FROM p WHERE g = 7 ORDER BY total, path LIMIT 1
 """)
 def viterbi(spark: SparkSession, d: str) -> DataFrame:
-    """Cheapest path of return flags over five line numbers, a change costing 0.05."""
-    c = table(spark, d, "lineitem").where("l_linenumber <= 5").groupBy("l_linenumber", "l_returnflag").agg((F.avg("l_discount") * 100).alias("c"))
-    return folds.cheapest_route(c, stage="l_linenumber", state="l_returnflag", cost="c", stages=[1, 2, 3, 4, 5], move=0.05).select(r6("total").alias("total"), "path")
+    """Cheapest path of return flags over the seven line numbers, a change costing 0.05."""
+    c = table(spark, d, "lineitem").groupBy("l_linenumber", "l_returnflag").agg((F.avg("l_discount") * 100).alias("c"))
+    return folds.cheapest_route(c, stage="l_linenumber", state="l_returnflag", cost="c", stages=list(range(1, 8)), move=0.05).select(r6("total").alias("total"), "path")
 
 
 @register(_E + """,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import arrays
 from tessera.plans.catalogue import register
+from tessera.plans.sequences import LIMITER_SQL
 from tessera.plans.tables import events, r6, table
 from tessera.streaming import processors
 
@@ -35,8 +36,12 @@ def frame_distance(spark: SparkSession, d: str) -> DataFrame:
 @register(_PAIRS + " SELECT vec_id, round(CASE WHEN avg((x - b) ** 2) < 1e-10 THEN 0 ELSE avg(x - b) ** 2 / avg((x - b) ** 2) END, 6) AS level, round(CASE WHEN avg((x - b) ** 2) < 1e-10 THEN 0 ELSE 1 - avg(x - b) ** 2 / avg((x - b) ** 2) END, 6) AS structure FROM u GROUP BY 1")
 def temporal_split(spark: SparkSession, d: str) -> DataFrame:
     """Level and structure shares of each frame change."""
-    m = arrays.array_metric(arrays.temporal_split, ["level", "structure"])
-    return frame_pairs(spark, d).select("vec_id", m(F.col("x"), F.col("b")).alias("m")).select("vec_id", r6("m.level").alias("level"), r6("m.structure").alias("structure"))
+    p = frame_pairs(spark, d).select("vec_id", F.transform(F.arrays_zip("x", "b"), lambda z: z["x"] - z["b"]).alias("d"))
+    mean = lambda f: F.aggregate("d", F.lit(0.0), lambda a, z: a + f(z)) / F.size("d")
+    m = p.select("vec_id", mean(lambda z: z).alias("level"), mean(lambda z: z * z).alias("total"))
+    share = F.col("level") * F.col("level") / F.col("total")
+    quiet = F.col("total") < 1e-10
+    return m.select("vec_id", r6(F.when(quiet, 0.0).otherwise(share)).alias("level"), r6(F.when(quiet, 0.0).otherwise(1 - share)).alias("structure"))
 
 
 @register("""
@@ -95,10 +100,8 @@ def _checkpoint(spark: SparkSession) -> str:
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     """Hourly counts from the event stream, complete output over what is there."""
     w = processors.tumbling(_stream(spark, d), time="ts", width="1 hour", late="2 hours", keys=["event_type"], value="value")
-    name = f"tumbling_{uuid.uuid4().hex}"
-    query = w.writeStream.format("memory").queryName(name).option("checkpointLocation", _checkpoint(spark)).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    made = processors.drain_complete(w, _checkpoint(spark))
+    return made.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @register("""
@@ -111,11 +114,24 @@ def stream_run_dedup(spark: SparkSession, d: str) -> DataFrame:
     return processors.drain(processors.run_dedup(s), "dedup", _checkpoint(spark)).select("key", "id", "value")
 
 
-@register()
+@register("WITH RECURSIVE" + LIMITER_SQL.split("WITH RECURSIVE", 1)[1].replace("SELECT user_id, s1 AS at, v1 AS value FROM f", "SELECT cast(user_id AS VARCHAR) AS key, s1 AS at, v1 AS value FROM f").replace("SELECT user_id, s0, v0 FROM f", "SELECT cast(user_id AS VARCHAR), s0, v0 FROM f").replace("SELECT f.user_id, f.due, f.wait FROM f", "SELECT cast(f.user_id AS VARCHAR), f.due, f.wait FROM f"))
 def stream_limiter(spark: SparkSession, d: str) -> DataFrame:
-    """Rate limiter on the event stream with event-time timers; what still waits at the end stays in state."""
-    s = _stream(spark, d).select(F.col("user_id").cast("string").alias("key"), "ts", F.unix_micros("ts").alias("t"), "value")
-    return processors.drain(processors.limiter(s, gap=43_200_000_000, late="1 hour"), "limiter", _checkpoint(spark))
+    """Rate limiter on the event stream with event-time timers.
+
+    When the events are drained, a closing row a day and a gap after the last one moves the watermark on, so that the timers
+    of all waiting writes fire.
+    """
+    gap, end = 43_200_000_000, _checkpoint(spark)
+    shape = lambda s: s.select(F.col("user_id").cast("string").alias("key"), "ts", F.unix_micros("ts").alias("t"), "value")
+    empty = spark.createDataFrame([], EVENTS)
+    empty.write.parquet(f"{end}/closing")
+    closing = processors.event_stream(spark, f"{end}/closing", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = shape(_stream(spark, d)).unionByName(shape(closing).withColumn("key", F.lit(None).cast("string")))
+    limited = processors.limiter(rows, gap=gap, late="1 hour")
+    processors.drain(limited, "limiter", end)
+    last = table(spark, d, "events").agg(F.max("ts").alias("ts")).select(F.lit(0).cast("long").alias("event_id"), (F.col("ts") + F.expr("interval 36 hours")).alias("ts"), F.lit(None).cast("long").alias("user_id"), F.lit("").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
+    last.write.mode("append").parquet(f"{end}/closing")
+    return processors.drain(limited, "limiter", end).where("key is not null")
 
 
 @register("SELECT event_id FROM events")

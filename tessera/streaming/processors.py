@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def event_stream(spark: SparkSession, path: str, schema: str, *, files: int = 1) -> DataFrame:
-    """A stream over the Parquet files of a folder, a bounded number a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def event_stream(spark: SparkSession, path: str, schema: str, *, files: int | None = None) -> DataFrame:
+    """A stream over the Parquet files of a folder.
+
+    files bounds a batch; files must then come in time order within the watermark, as rows behind it are late. Without a
+    bound, what is there makes one batch, whatever the order and overlap of its files: nothing in it is late.
+    """
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def tumbling(stream: DataFrame, *, time: str, width: str, late: str, keys: list[str], value: str) -> DataFrame:
@@ -54,7 +59,7 @@ def run_dedup(stream: DataFrame) -> DataFrame:
         changed.iloc[0] = before is None or frame["value"].iloc[0] != before
         state.update((frame["value"].iloc[-1],))
         out = frame[changed.to_numpy()]
-        yield pd.DataFrame({"key": [str(key[0])] * len(out), "id": out["id"].to_numpy(), "t": out["t"].to_numpy(), "value": out["value"].to_numpy()})
+        yield pd.DataFrame({"key": [key[0]] * len(out), "id": out["id"].to_numpy(), "t": out["t"].to_numpy(), "value": out["value"].to_numpy()})
 
     return stream.groupBy("key").applyInPandasWithState(step, "key string, id long, t long, value string", "value string", "append", "NoTimeout")
 
@@ -95,15 +100,32 @@ def limiter(stream: DataFrame, *, gap: int, late: str) -> DataFrame:
         state.update(kept)
         if kept[1] is not None:
             state.setTimeoutTimestamp(max(int(kept[0] // 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": [str(key[0])] * len(out), "at": [int(a) for a, _ in out], "value": [float(v) for _, v in out]}).astype({"at": "int64", "value": "float64"})
+        yield pd.DataFrame({"key": [key[0]] * len(out), "at": [int(a) for a, _ in out], "value": [float(v) for _, v in out]}).astype({"at": "int64", "value": "float64"})
 
     return stream.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "key string, at long, value double", "due long, wait double", "append", "EventTimeTimeout")
 
 
 def drain(result: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now into Parquet under the checkpoint folder and read the rows."""
+    """Run a stream over what is there now into Parquet under the checkpoint folder and read the rows.
+
+    A further call with the same name goes on where the last one stopped.
+    """
     spark = result.sparkSession
     out = f"{checkpoint}/{name}-out"
     query = result.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{checkpoint}/{name}-state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(result.schema).parquet(out)
+
+
+def drain_complete(result: DataFrame, checkpoint: str) -> DataFrame:
+    """Run an aggregate in complete mode over what is there now; each batch writes its whole result as Parquet, the last is read."""
+    spark = result.sparkSession
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{checkpoint}/batch-{batch}")
+        latest[0] = batch
+
+    latest = [None]
+    query = result.writeStream.foreachBatch(keep).option("checkpointLocation", f"{checkpoint}/state").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.createDataFrame([], result.schema) if latest[0] is None else spark.read.schema(result.schema).parquet(f"{checkpoint}/batch-{latest[0]}")
