@@ -42,12 +42,12 @@ def tick_brackets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("""
-WITH p AS (SELECT l_shipmode, p FROM (SELECT l_returnflag AS l_shipmode, l_discount + 0.01 AS p FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 50 = 0)), f AS (SELECT l_shipmode, count(*) AS n, -2 * sum(ln(p)) AS x FROM p GROUP BY 1)
+WITH p AS (SELECT l_shipmode, p FROM (SELECT l_returnflag AS l_shipmode, l_discount + 0.01 AS p FROM lineitem)), f AS (SELECT l_shipmode, count(*) AS n, -2 * sum(ln(p)) AS x FROM p GROUP BY 1)
 SELECT l_shipmode AS pool, n, round(x, 4) AS statistic, round((pow(x / (2 * n), 1 / 3.0) - (1 - 2 / (9.0 * 2 * n))) / sqrt(2 / (9.0 * 2 * n)), 4) AS z FROM f
 """)
 def fisher_pooled(spark: SparkSession, d: str) -> DataFrame:
     """Fisher's statistic of pooled p-values and its normal score by the cube-root approximation."""
-    p = table(spark, d, "lineitem").where("l_linenumber = 1 and l_orderkey % 50 = 0").select(F.col("l_returnflag").alias("pool"), (F.col("l_discount") + 0.01).alias("p"))
+    p = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("pool"), (F.col("l_discount") + 0.01).alias("p"))
     f = p.groupBy("pool").agg(F.count("*").alias("n"), (-2 * F.sum(F.log("p"))).alias("x"))
     df, c = 2 * F.col("n").cast("double"), F.lit(1 / 3.0)
     return f.select("pool", "n", F.round("x", 4).alias("statistic"), F.round((F.pow(F.col("x") / df, c) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)), 4).alias("z"))
@@ -137,10 +137,10 @@ def evidence_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy(v.alias("verdict")).agg(F.count("*").alias("customers"))
 
 
-@register("WITH m AS (SELECT substring(text, 1, 24) AS fault, count(*) AS n FROM conversations GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, fault) AS k FROM m) SELECT fault, n FROM k WHERE k <= 10")
+@register("WITH m AS (SELECT text AS fault, count(*) AS n FROM conversations GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, fault) AS k FROM m) SELECT fault, n FROM k WHERE k <= 10")
 def common_faults(spark: SparkSession, d: str) -> DataFrame:
-    """Ten commonest openings of messages (a top-k report)."""
-    m = table(spark, d, "conversations").groupBy(F.substring("text", 1, 24).alias("fault")).agg(F.count("*").alias("n"))
+    """Ten commonest messages (a top-k report)."""
+    m = table(spark, d, "conversations").groupBy(F.col("text").alias("fault")).agg(F.count("*").alias("n"))
     return m.orderBy(F.desc("n"), "fault").limit(10)
 
 

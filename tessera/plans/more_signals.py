@@ -106,7 +106,19 @@ def series_rhythm(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", m(F.col("x")).alias("m")).select("user_id", "m.*")
 
 
-@register()
+def _novelty_sql(half: int = 4) -> str:
+    weight = [(-1.0 if k < half else 1.0) * math.exp(-(((k - half + 0.5) / half) ** 2)) for k in range(2 * half)]
+    at = lambda k: f"lag(u, {half - k}, 0.0) OVER w" if k < half else f"lead(u, {k - half}, 0.0) OVER w"
+    total = " + ".join(f"({v!r}) * {at(k)}" for k, v in enumerate(weight))
+    return f"""
+WITH v AS (SELECT label, vec_id, unnest(cast(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS i FROM embeddings), n AS (SELECT vec_id, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM v GROUP BY 1),
+u AS (SELECT label, v.vec_id, i, x / n AS u FROM v JOIN n USING (vec_id)), t AS (SELECT label, vec_id, {total} AS t FROM u WINDOW w AS (PARTITION BY label, i ORDER BY vec_id)), s AS (SELECT label, vec_id, sum(t * t) AS s FROM t GROUP BY 1, 2)
+SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, round(s, 6) AS novelty FROM s
+"""
+
+
+@register(_novelty_sql())
 def label_novelty(spark: SparkSession, d: str) -> DataFrame:
     """Novelty at each vector of a label, in order of id, along the similarity matrix of all its vectors."""
-    return series.checkerboard_novelty(table(spark, d, "embeddings"), key="label", order="vec_id", vector="embedding")
+    found = series.checkerboard_novelty(table(spark, d, "embeddings"), key="label", order="vec_id", vector="embedding")
+    return found.withColumn("novelty", r6("novelty"))

@@ -73,11 +73,11 @@ def bit_codes(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("l_orderkey").agg(F.bit_or("code").alias("regime"), F.bit_xor("gray").alias("gray"), F.bit_or("bit").alias("lines"))
 
 
-@register("SELECT l_partkey, l_partkey AS decoded, CASE WHEN l_partkey % 1024 >= 512 THEN l_partkey % 1024 - 1024 ELSE l_partkey % 1024 END AS signed FROM lineitem WHERE l_linenumber = 1")
+@register("SELECT l_partkey, l_partkey AS decoded, CASE WHEN l_partkey % 1024 >= 512 THEN l_partkey % 1024 - 1024 ELSE l_partkey % 1024 END AS signed FROM lineitem")
 def gray_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Gray codes decoded again, and codes with a sign."""
     k = F.col("l_partkey")
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select(k, x.gray_decode(x.gray_encode(k), 32).alias("decoded"), x.signed(k % 1024, 10).alias("signed"))
+    return table(spark, d, "lineitem").select(k, x.gray_decode(x.gray_encode(k), 32).alias("decoded"), x.signed(k % 1024, 10).alias("signed"))
 
 
 @register("SELECT doc_id, substring(sha256(coalesce(lang, '') || chr(0) || coalesce(source, '') || chr(0) || coalesce(text, '')), 1, 16) AS key FROM documents")
@@ -166,20 +166,28 @@ def raster_walk(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", r.alias("r"), F.when(r % 2 == 0, F.col("i") % 10).otherwise(9 - F.col("i") % 10).alias("c"))
 
 
-@register()
+def _sobol_sql(dim: int, bits: int = 30) -> str:
+    terms = [f"((g >> {k}) & 1) * {v}" for k, v in enumerate(design.direction_numbers(dim, bits))]
+    whole = terms[0]
+    for term in terms[1:]:
+        whole = f"xor({whole}, {term})"
+    return f"({whole}) / {float(1 << bits)!r} AS s{dim}"
+
+
+@register(f"WITH g AS (SELECT p_partkey, xor(p_partkey, p_partkey >> 1) AS g FROM part) SELECT p_partkey, {', '.join(_sobol_sql(k) for k in range(3))} FROM g")
 def sobol_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Unscrambled Sobol settings in three dimensions for every part."""
     return table(spark, d, "part").select("p_partkey", *[design.sobol_value(F.col("p_partkey"), k).alias(f"s{k}") for k in range(3)])
 
 
 @register("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_partkey <= 50),
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem),
 w AS (SELECT 0 AS depth, 1 AS s UNION SELECT w.depth + 1, b.s FROM w JOIN e a ON a.s = w.s JOIN e b ON b.p = a.p WHERE w.depth < 3)
 SELECT cast(s AS BIGINT) AS s, cast(min(depth) AS INT) AS depth FROM w GROUP BY 1
 """)
 def reachability(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers reached from supplier 1 over shared parts within three steps, each frontier new nodes only."""
-    e = table(spark, d, "lineitem").where("l_partkey <= 50").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
     seen = spark.range(1).select(F.lit(1).cast("long").alias("s"), F.lit(0).alias("depth"))
     front = seen
     for step in range(1, 4):
