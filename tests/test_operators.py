@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays, exprs, special
-from tessera.operators import design, folds, joins, robust, series, windows
+from tessera.operators import design, fit, folds, joins, robust, series, windows
 from tessera.sources.store import ResultStore, narrow, union_rows, wide
 
 
@@ -97,3 +97,43 @@ def test_novelty_of_every_vector(spark, width):
         assert np.allclose([r[2] for r in own], arrays.novelty(v @ v.T))
         if label == "a":
             assert np.argmax([r[2] for r in own]) == 150
+
+
+def test_store_replaces_after_a_crash(spark, tmp_path):
+    """Data written without a commit, then the same run again: each row once; another key of the program stays apart."""
+    rows = spark.createDataFrame([("p", "1", i, 0.5) for i in range(10)] + [("q", "1", 0, 1.0)], "program string, firmware string, state_index int, m double")
+    store = ResultStore(spark, str(tmp_path / "store"))
+    with pytest.raises(ValueError):
+        store.put(rows.limit(0))
+    keyed = rows.withColumn("key", F.substring(F.sha2(F.concat_ws("\0", "program", F.lit("name_firmware"), "firmware"), 256), 1, 16))
+    keyed.write.mode("append").partitionBy("program", "key").parquet(f"{store.path}/data")  # the run that ended early
+    assert store.committed().count() == 0
+    store.put(rows)
+    store.put(rows.where("program = 'p'"))
+    assert store.get().count() == 11
+    assert {(r.program, r.rows) for r in store.committed().collect()} == {("p", 10), ("q", 1)}
+    store.put(rows.where("program = 'p'").limit(3).withColumn("firmware", F.lit("2")))
+    assert {(r.program, r["count"]) for r in store.get().groupBy("program").count().collect()} == {("p", 3), ("q", 1)}
+    wanted = spark.createDataFrame([("p", "1"), ("p", "2"), ("q", "1"), ("r", "1")], "program string, firmware string")
+    assert sorted((r.program, r.firmware, r.stored) for r in store.has(wanted).collect()) == [("p", "1", False), ("p", "2", True), ("q", "1", True), ("r", "1", False)]
+
+
+def test_pair_strength_counts_filled_cells_once(spark):
+    """An additive surface has no strength however unevenly its cells are filled, a product has some, a sparse grid none."""
+    rng = np.random.default_rng(3)
+    rows = [(a, b, n) for a in range(8) for b in range(8) for n in range(int(rng.integers(1, 9)))]
+    df = spark.createDataFrame([("k", a, b, 0, float(a // 2 + 10 * (b // 2)), float((a // 2) * (b // 2))) for a, b, _ in rows], "g string, p1 int, p2 int, p3 int, plus double, times double")
+    strength = lambda y, frame=df: {(r.a, r.b): r.strength for r in fit.pair_strengths(frame, key=["g"], params=["p1", "p2", "p3"], y=y).collect()}
+    assert strength("plus")["p1", "p2"] == pytest.approx(0, abs=1e-12) and strength("times")["p1", "p2"] > 0.1
+    assert strength("times")["p1", "p3"] == 0.0
+    assert strength("times", df.where("p1 = p2"))["p1", "p2"] == 0.0
+
+
+def test_pooled_midrank(spark):
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 300, 2_000).astype(float).tolist() + [7.0] * 900
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.v: r.midrank for r in windows.pooled_midrank(df, value="v", ranges=16).distinct().collect()}
+    x = np.array(values)
+    assert len(got) == len(set(values)) and all(got[v] == pytest.approx(((x < v).sum() + ((x == v).sum() - 1) / 2) / (len(x) - 1)) for v in got)
+    assert [r.midrank for r in windows.pooled_midrank(df.limit(1), value="v").collect()] == [0.5]
