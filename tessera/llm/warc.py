@@ -13,7 +13,7 @@ unlisted file.
 
 Defined cases: a null html is an empty payload; a null url has the empty key; a null page_id sorts first, is never a
 response while its payload has a page with an id, and is returned as null. Rows with the same page_id and payload are
-captures of their own with the same record type. An empty table writes no file and gives an empty result.
+captures of their own with the same record type. A line break in a url is written as %0D or %0A and is returned so. An empty table writes no file and gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from tessera.llm._common import scratch, stored
 
 BLOCK_ROWS = 256
 FILE_BYTES = 1 << 30
+READ_BYTES = 8 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CAPTURE = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 _CAPTURE_SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -243,8 +244,11 @@ class _Reader:
         return gzip.decompress(self.open[1].read_at(length, offset))
 
 
-def read_captures(keys: DataFrame, index: CaptureIndex, *, payload: bool = True) -> DataFrame:
-    """Captures of the distinct (key, page_id) rows of keys, read from the archive through the index."""
+def read_captures(keys: DataFrame, index: CaptureIndex, *, payload: bool = True, n_tasks: int | None = None) -> DataFrame:
+    """Captures of the distinct (key, page_id) rows of keys, read from the archive through the index.
+
+    n_tasks: ranges of keys to read in; by default Spark decides by the size of the keys, which says little of the records.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(index)
@@ -258,7 +262,9 @@ def read_captures(keys: DataFrame, index: CaptureIndex, *, payload: bool = True)
                 if rows:
                     yield from pa.Table.from_pylist(rows, _CAPTURE_SCHEMA).to_batches()
 
-    asked = keys.select("key", "page_id").distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    order = ["key", "page_id"]
+    asked = keys.select(*order).distinct()
+    asked = (asked.repartitionByRange(n_tasks, *order) if n_tasks else asked.repartitionByRange(*order)).sortWithinPartitions(*order)
     return asked.mapInArrow(read, CAPTURE)
 
 
@@ -268,4 +274,5 @@ def archive_and_read(pages: DataFrame, path: str | None = None, *, payload: bool
     path = path or scratch(spark, "warc")
     captures = write_archive(pages, f"{path}/archive")
     index = build_index(captures, f"{path}/index", f"{path}/archive")
-    return read_captures(captures, index, payload=payload)
+    size = captures.agg(F.sum("length")).first()[0] or 0
+    return read_captures(captures, index, payload=payload, n_tasks=1 + size // READ_BYTES)
