@@ -6,12 +6,16 @@ Kernels take one array and give plain numbers; the UDFs hand Spark batches to th
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.special import beta_quantile, fisher_g_critical, normal_quantile
+
 
 def array_metric(kernel: Callable[..., dict[str, float]], names: list[str], **options) -> Callable[..., Column]:
     """A struct column of doubles from one or two array columns."""
@@ -19,12 +23,17 @@ def array_metric(kernel: Callable[..., dict[str, float]], names: list[str], **op
 
     def run(*columns: Column) -> Column:
         def of(*arrays: pa.Array) -> pa.Array:
+            # the values of a batch as they lie in its buffers; an array is a slice of them
+            parts = []
+            for a in arrays:
+                values = np.asarray(a.values.cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64)
+                parts.append((values, np.asarray(a.offsets), np.asarray(a.is_valid())))
             rows = []
-            for values in zip(*arrays):
-                if any(not v.is_valid for v in values):
+            for i in range(len(arrays[0])):
+                if not all(valid[i] for _, _, valid in parts):
                     rows.append(None)
                     continue
-                found = kernel(*(np.array(v.as_py(), np.float64) for v in values), **options)
+                found = kernel(*(values[offsets[i] : offsets[i + 1]] for values, offsets, _ in parts), **options)
                 rows.append({n: found[n] for n in names} if found else None)
             return pa.array(rows, kind)
 
@@ -129,25 +138,68 @@ def gabor_energy(frame: np.ndarray, wavelengths: tuple[float, ...] = (2.0, 4.0),
     return {"peak": float(share.max()), "concentration": float((share**2).sum())}
 
 
-def dynamics(series: np.ndarray, quiet: float = 1e-9) -> dict[str, float]:
-    """0 static, 1 periodic, 2 quasi-periodic, 3 chaotic, with the period of the strongest line.
+def acf_peak(x: np.ndarray, alpha: float = 0.05) -> tuple[float, float, bool]:
+    """Strongest local peak of the autocorrelation up to half the length: refined lag, strength, and is it beyond white noise?
 
-    Periodic: the strongest line and its harmonics hold most of the power; quasi-periodic: a few lines do.
+    The bound is a two-sided normal one for all lags looked at. Without a peak all are 0.
+    """
+    n = len(x)
+    limit = n // 2
+    spectrum = np.fft.rfft(x - x.mean(), 2 * n)
+    acf = np.fft.irfft(np.abs(spectrum) ** 2)[: limit + 2]
+    if limit < 2 or acf[0] <= 0:
+        return 0.0, 0.0, False
+    acf = acf / acf[0]
+    mid = acf[1 : limit + 1]
+    top = np.flatnonzero((mid > acf[:limit]) & (mid > acf[2 : limit + 2]))
+    if not len(top):
+        return 0.0, 0.0, False
+    k = int(top[mid[top].argmax()]) + 1
+    left, centre, right = acf[k - 1 : k + 2]
+    strength = float(np.clip(centre, 0, 1))
+    return float(k - 0.5 * (right - left) / (left - 2 * centre + right)), strength, strength >= normal_quantile(1 - alpha / (2 * limit)) / np.sqrt(n)
+
+
+@lru_cache(maxsize=4096)
+def _comb_bound(alpha: float, inside: int, outside: int) -> float:
+    return beta_quantile(1 - alpha, inside, outside)
+
+
+def dynamics(series: np.ndarray, quiet: float = 1e-6, alpha: float = 0.05, most: int = 4) -> dict[str, float]:
+    """0 static, 1 periodic, 2 quasi-periodic, 3 chaotic, with period, strength and winding number (0 where there is none).
+
+    Without a significant period a series is chaotic, and so is one whose power in the bins next to the period's harmonics
+    is no more than a like share of white noise would hold (a Beta quantile). Two lines beyond Fisher's g whose ratio is,
+    at the resolution there is, no fraction with a denominator of at most `most` are quasi-periodic.
     """
     n = len(series)
-    if n < 16 or not np.isfinite(series).all():
+    if n < 4 or not np.isfinite(series).all():
         return {}
-    x = series - series.mean()
-    if (x**2).mean() <= quiet:
-        return {"kind": 0.0, "period": 0.0}
-    power = np.abs(np.fft.rfft(x * np.hanning(n)))[1:] ** 2
-    peak = int(power.argmax()) + 1
-    near = np.zeros(len(power) + 1, bool)
-    for h in range(peak, len(power) + 1, peak):
-        near[max(h - 1, 1) : h + 2] = True
-    comb = power[near[1:]].sum() / power.sum()
-    lines = np.sort(power)[::-1][:9].sum() / power.sum()
-    return {"kind": 1.0 if comb > 0.8 and lines > 0.8 else 2.0 if lines > 0.8 else 3.0, "period": n / peak}
+    kind = lambda k, period=0.0, strength=0.0: {"kind": float(k), "period": period, "strength": strength, "winding": 1 / period if k in (1, 2) else 0.0}
+    if np.ptp(series) <= quiet:
+        return kind(0)
+    period, strength, significant = acf_peak(series, alpha)
+    if not significant:
+        return kind(3, 0.0, strength)
+    power = np.abs(np.fft.rfft((series - series.mean()) * np.hanning(n + 1)[:-1])) ** 2
+    power[1 : (n + 1) // 2] *= 2  # one side stands for both
+    power = power[1:]
+    bins, total = len(power), power.sum()
+    # bin k (from 0) has k + 1 cycles over the series
+    tone = n / period
+    centre = np.rint(np.arange(1, max(int(bins / tone), 1) + 1) * tone).astype(int) - 1
+    comb = np.zeros(bins, bool)
+    for off in (-1, 0, 1):
+        comb[np.clip(centre + off, 0, bins - 1)] = True
+    inside = int(comb.sum())
+    if bins < 3 or total <= 0 or (inside < bins and power[comb].sum() / total <= _comb_bound(alpha, inside, bins - inside)):
+        return kind(3, period, strength)
+    line = np.flatnonzero((power[1:-1] > power[:-2]) & (power[1:-1] > power[2:]) & (power[1:-1] >= fisher_g_critical(bins, alpha) * total)) + 1
+    if len(line) < 2:
+        return kind(1, period, strength)
+    low, high = sorted(line[np.argsort(power[line])[-2:]] + 1)
+    lock = Fraction(high / low).limit_denominator(most)
+    return kind(1 if abs(high - float(lock) * low) <= 1 else 2, period, strength)
 
 
 def best_lag(a: np.ndarray, b: np.ndarray, most: int = 16) -> dict[str, float]:

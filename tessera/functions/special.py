@@ -34,3 +34,38 @@ def chi_square_tail(x: float, k: int) -> float:
 def fisher_p(ps: list[float]) -> float:
     """Fisher's combination of independent p-values."""
     return chi_square_tail(-2 * sum(math.log(max(p, 1e-300)) for p in ps), 2 * len(ps)) if ps else 1.0
+
+
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction on the side where that converges fast."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_cdf(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    # the fraction from its far end: 1 / (1 + d1 / (1 + d2 / (1 + ...)))
+    value = 1.0
+    for i in range(400, 0, -1):
+        m = i // 2
+        d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = 1 + d / value
+    return min(1.0, front / value)
+
+
+def beta_quantile(p: float, a: float, b: float) -> float:
+    """Inverse of beta_cdf by bisection."""
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if beta_cdf(mid, a, b) < p else (low, mid)
+    return (low + high) / 2
+
+
+def fisher_g_p(g: float, m: int) -> float:
+    """Union bound on the p-value of Fisher's g, the largest share of m periodogram ordinates."""
+    return 1.0 if m < 2 or g <= 0 else min(1.0, m * max(0.0, 1 - g) ** (m - 1))
+
+
+def fisher_g_critical(m: int, alpha: float) -> float:
+    """Share at which fisher_g_p reaches alpha."""
+    return 1 - (alpha / m) ** (1 / (m - 1)) if m > 1 else 1.0

@@ -32,10 +32,19 @@ def limiter(df: DataFrame, *, key: list[str], time: str, tie: str, value: str, g
     return ordered.select(*key, F.explode(F.aggregate("w", start, step, done)).alias("x")).select(*key, "x.at", "x.value")
 
 
-def change_counter(df: DataFrame, *, key: list[str], order_by: list[str], rate: str) -> DataFrame:
-    """df with `changes`: how often the running sum of rates crosses an integer in this row."""
-    total = F.sum(rate).over(Window.partitionBy(*key).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("changes", (F.floor(total) - F.floor(total - F.col(rate))).cast("long"))
+def change_counter(df: DataFrame, *, key: list[str], order: str, rate: str, one: int, width: int = 65_536) -> DataFrame:
+    """df with `changes`: how often the running sum of rates crosses a whole number in this row.
+
+    rate is a long in parts of `one`, `order` a long without repeats in a key. Rows are dealt by (key, range of the order);
+    a range starts from the sums of those before, so a key is many tasks.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(order) / width))
+    sums = rows.groupBy(*key, "_b").agg(F.sum(rate).alias("_own"))
+    before = F.coalesce(F.sum("_own").over(Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*key, "_b", before.alias("_at"))
+    within = F.sum(rate).over(Window.partitionBy(*key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    total = rows.withColumn("_in", within).join(starts, [*key, "_b"]).withColumn("_total", F.col("_at") + F.col("_in"))
+    return total.withColumn("changes", F.expr(f"_total div {one} - (_total - {rate}) div {one}")).drop("_b", "_in", "_at", "_total")
 
 
 def last_per_slot(df: DataFrame, *, slot: list[str], time: str, tie: str, width: int, value: str) -> DataFrame:
@@ -45,9 +54,18 @@ def last_per_slot(df: DataFrame, *, slot: list[str], time: str, tie: str, width:
     return step.withColumn("_p", before).where(F.col("_p").isNull() | (F.col("_p") != F.col(value))).drop("_p")
 
 
-def sliding_count(df: DataFrame, *, key: list[str], time: str, span: int) -> DataFrame:
-    """df with `in_span`: rows of the key in (time - span, time]."""
-    return df.withColumn("in_span", F.count("*").over(Window.partitionBy(*key).orderBy(time).rangeBetween(-span + 1, 0)))
+def sliding_count(df: DataFrame, *, key: list[str], time: str, span: int, spans: int = 24) -> DataFrame:
+    """df with `in_span`: rows of the key in (time - span, time].
+
+    Rows are dealt by (key, bucket of `spans` spans), those of a bucket's last span to the next bucket as well, so a key is
+    many tasks.
+    """
+    width = span * spans
+    own = F.floor(F.col(time) / width)
+    seen = F.when(F.floor((F.col(time) + span - 1) / width) > own, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = df.withColumn("_own", own).withColumn("_b", F.explode(seen))
+    counted = dealt.withColumn("in_span", F.count("*").over(Window.partitionBy(*key, "_b").orderBy(time).rangeBetween(-span + 1, 0)))
+    return counted.where("_own = _b").drop("_own", "_b")
 
 
 def cheapest_route(costs: DataFrame, *, stage: str, state: str, cost: str, stages: list[int], move: float) -> DataFrame:

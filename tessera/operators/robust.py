@@ -8,12 +8,51 @@ from pyspark.sql import functions as F
 MAD_SCALE = 1.4826
 
 
-def robust_scale(df: DataFrame, *, key: list[str], value: str) -> DataFrame:
-    """Per key: n, median and scale, which is 1.4826 * MAD, else the standard deviation, else 1."""
-    middle = df.groupBy(*key).agg(F.count(value).alias("n"), F.median(value).alias("median"), F.stddev_pop(value).alias("_sd"))
-    off = df.join(middle, key).groupBy(*key).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("_mad"))
+def broadcast_if_small(df: DataFrame, most: int = 1_000) -> DataFrame:
+    """df marked for a broadcast if it has at most `most` rows, which are then held as they are; else df, for a plain join."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
+
+
+def exact_median(df: DataFrame, *, key: list[str], value: str) -> DataFrame:
+    """Per key: n and the exact median, for few keys with very many rows each.
+
+    A quantile sketch, whose rank error is bounded by a 2,000th of the rows, brackets the middle by a 250th of them. Values
+    under the bracket are counted, and only distinct values inside it are put in order, so no task holds a key's values.
+    """
+    v = df.where(F.col(value).isNotNull()).select(*key, F.col(value).cast("double").alias("_v"))
+    ends = v.groupBy(*key).agg(F.count("*").alias("n"), F.percentile_approx("_v", F.array(F.lit(0.498), F.lit(0.502)), F.lit(2_000)).alias("_e"))
+    v = v.join(broadcast_if_small(ends), key)
+    low, high = F.get("_e", F.lit(0)), F.get("_e", F.lit(1))
+    # one row a value inside the bracket, and one for all values under it (null); those over it are not needed
+    part = v.where(F.col("_v") <= high).select(*key, "n", F.when(F.col("_v") >= low, F.col("_v")).alias("_v")).groupBy(*key, "n", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = part.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_c"))
+    holds = lambda rank: (F.col("_from") < rank) & (F.col("_to") >= rank)
+    lower, upper = F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")
+    middle = (F.max(F.when(holds(lower), F.col("_v"))) + F.max(F.when(holds(upper), F.col("_v")))) / 2
+    return ranked.groupBy(*key, "n").agg(middle.alias("median"))
+
+
+def robust_scale(df: DataFrame, *, key: list[str], value: str, dealt: bool = True) -> DataFrame:
+    """Per key: n, median and scale, which is 1.4826 * MAD, else the standard deviation, else 1.
+
+    dealt: few keys with very many rows each, in four passes over df, which should be cheap to read; else two passes with
+    a key's distinct values in one task.
+    """
+    rows = df.select(*key, F.col(value).alias("_x"))
+    if not dealt:
+        middle = rows.groupBy(*key).agg(F.count("_x").alias("n"), F.median("_x").alias("median"), F.stddev_pop("_x").alias("_sd"))
+        off = rows.join(middle, key).groupBy(*key).agg(F.median(F.abs(F.col("_x") - F.col("median"))).alias("_mad"))
+        return _scaled(middle.join(off, key), key)
+    middle = broadcast_if_small(exact_median(rows, key=key, value="_x").join(rows.groupBy(*key).agg(F.stddev_pop("_x").alias("_sd")), key))
+    off = exact_median(rows.join(middle, key).select(*key, F.abs(F.col("_x") - F.col("median")).alias("_x")), key=key, value="_x").select(*key, F.col("median").alias("_mad"))
+    return _scaled(off.join(middle, key), key)
+
+
+def _scaled(df: DataFrame, key: list[str]) -> DataFrame:
     scale = F.when(F.col("_mad") > 0, MAD_SCALE * F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
-    return middle.join(off, key).select(*key, "n", "median", scale.alias("scale"))
+    return df.select(*key, "n", "median", scale.alias("scale"))
 
 
 def mode_smallest(df: DataFrame, *, key: list[str], value: str) -> DataFrame:
@@ -39,11 +78,15 @@ def pointwise_fit(df: DataFrame, *, key: list[str], x: str, y: str) -> DataFrame
 
 
 def additive_residual(df: DataFrame, *, a: str, b: str, y: str) -> DataFrame:
-    """Interaction of two settings: for each cell its mean less the additive model (row + column - grand mean)."""
-    sets = df.groupBy(a, b).agg(F.avg(y).alias("cell"), F.count(y).alias("n"))
-    rows, cols = df.groupBy(a).agg(F.avg(y).alias("_row")), df.groupBy(b).agg(F.avg(y).alias("_col"))
-    grand = df.agg(F.avg(y).alias("_all"))  # one row
-    return sets.join(rows, a).join(cols, b).join(F.broadcast(grand)).select(a, b, "n", "cell", (F.col("cell") - F.col("_row") - F.col("_col") + F.col("_all")).alias("residual"))
+    """Interaction of two settings: for each cell its mean less the additive model (row + column - grand mean).
+
+    Means are over rows, all from the sums and counts of the cells, which are read once.
+    """
+    sets = df.groupBy(a, b).agg(F.count(y).alias("n"), F.sum(y).alias("_s"))
+    mean = lambda *by: F.sum("_s").over(Window.partitionBy(*by)) / F.sum("n").over(Window.partitionBy(*by))
+    cell = F.col("_s") / F.col("n")
+    # a grid of two settings is small; its margins are windows over cells
+    return sets.select(a, b, "n", cell.alias("cell"), (cell - mean(a) - mean(b) + mean()).alias("residual"))
 
 
 def kernel_curve(df: DataFrame, *, x: str, y: str, widths: list[float]) -> DataFrame:

@@ -24,7 +24,7 @@ def setpoint_response(spark: SparkSession, d: str) -> DataFrame:
     """Events attributed to the state (signup) that held, with a robust response per type."""
     e = events(spark, d)
     held = joins.asof(e.where("event_type <> 'signup'"), e.where("event_type = 'signup'"), key=["user_id"], time="t", values=["event_id"], tie="event_id")
-    fit = robust.robust_scale(held.where("r_event_id is not null"), key=["event_type"], value="value")
+    fit = robust.robust_scale(held.where("r_event_id is not null"), key=["event_type"], value="value", dealt=False)
     return fit.select("event_type", "n", r6("median").alias("median"), r6("scale").alias("scale"))
 
 

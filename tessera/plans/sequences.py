@@ -73,8 +73,7 @@ SELECT o_orderkey, cast(total // 1000000000 - (total - n) // 1000000000 AS BIGIN
 def change_counter(spark: SparkSession, d: str) -> DataFrame:
     """How often a running rate passes a whole number, in exact billionths."""
     o = table(spark, d, "orders").select("o_orderstatus", "o_orderkey", F.rint(F.round(F.col("o_totalprice") / 300000, 9) * 1_000_000_000).cast("long").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("o_orderstatus").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0))
-    return o.withColumn("total", total).select("o_orderkey", F.expr("total div 1000000000 - (total - n) div 1000000000").alias("changes"))
+    return folds.change_counter(o, key=["o_orderstatus"], order="o_orderkey", rate="n", one=1_000_000_000).select("o_orderkey", "changes")
 
 
 LIMITER_SQL = _E.replace("WITH e", "WITH RECURSIVE e") + """,

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays
+from tessera.functions.exprs import saturate
 from tessera.plans.catalogue import register
 from tessera.plans.sequences import LIMITER_SQL
 from tessera.plans.tables import events, r6, table
@@ -77,13 +78,52 @@ def pair_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @register()
 def series_dynamics(spark: SparkSession, d: str) -> DataFrame:
-    """Dynamics class and period of each user's hourly value series."""
+    """Dynamics class, period, strength and winding number of each user's hourly value series."""
     hour = events(spark, d).groupBy("user_id", F.floor(F.col("t") / 3_600_000_000).alias("h")).agg(F.avg("value").alias("v"))
     rows = hour.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "v"))), lambda z: z["v"]).alias("x"))
-    m = arrays.array_metric(arrays.dynamics, ["kind", "period"])
+    m = arrays.array_metric(arrays.dynamics, ["kind", "period", "strength", "winding"])
     return rows.select("user_id", m(F.col("x")).alias("m")).select("user_id", "m.*")
 
 
+SCORE_WEIGHTS = {"mud": 1.0, "spectrum": 1.0, "fractal": 1.0, "legality": 1.0, "motion": 0.5, "surprisal": 1.0, "boredom": 0.5}
+
+
+def clip_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    """Per label, as a clip of frames in order of id: means of the frame metrics, of motion, and surprisal of the changes.
+
+    Surprisal is that of each change's tenth of the label's range after the tenth before, by the label's own counts.
+    """
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    s, g = arrays.array_metric(arrays.radial_spectrum, ["slope", "dimension"]), arrays.array_metric(arrays.gabor_energy, ["concentration"])
+    total = lambda f: F.aggregate("x", F.lit(0.0), lambda a, v: a + f(v)) / F.size("x")
+    mean = total(lambda v: v)
+    clipped = total(lambda v: F.when((v <= -0.3) | (v >= 0.3), 1.0).otherwise(0.0))
+    w = Window.partitionBy("label").orderBy("vec_id")
+    frames = e.select("vec_id", "label", s(F.col("x")).alias("s"), g(F.col("x")).alias("g"), F.sqrt(total(lambda v: v * v) - mean * mean).alias("luma_std"), clipped.alias("clip"), "x", F.lag("x").over(w).alias("b"))
+    change = F.aggregate(F.zip_with("x", "b", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda a, v: a + v) / F.size("x")
+    frames = frames.select("vec_id", "label", "s.*", "g.*", "luma_std", "clip", change.alias("change"))
+    own = frames.groupBy("label").agg(F.count("*").alias("frames"), F.avg("slope").alias("slope"), F.avg("dimension").alias("dimension"), F.avg("concentration").alias("concentration"), F.avg("luma_std").alias("luma_std"), F.avg("clip").alias("clip"), F.avg("change").alias("motion"), F.min("change").alias("_low"), F.max("change").alias("_high"))
+    symbol = F.least(F.lit(9), F.floor((F.col("change") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * 10))
+    steps = frames.where("change is not null").join(own.select("label", "_low", "_high"), "label").select("label", "vec_id", F.coalesce(symbol, F.lit(0)).alias("a"))
+    steps = steps.select("label", F.lag("a").over(w).alias("before"), "a").where("before is not null").groupBy("label", "before", "a").agg(F.count("*").alias("n"))
+    all_of = F.sum("n").over(Window.partitionBy("label", "before"))
+    bits = steps.withColumn("bits", -F.col("n") * F.log2(F.col("n") / all_of)).groupBy("label").agg((F.sum("bits") / F.sum("n")).alias("surprisal"))
+    return own.drop("_low", "_high").join(bits, "label", "left")
+
+
+@register()
+def clip_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptor and weighted score in [-1, 1] of each label's clip: rewards less penalties over the sum of the weights."""
+    c = clip_descriptors(spark, d)
+    outside = lambda v, low, high: F.greatest(low - F.col(v), F.lit(0.0), F.col(v) - high)
+    unit = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    zero = lambda v: F.coalesce(F.col(v), F.lit(0.0))
+    reward = {"fractal": 1 - saturate(outside("dimension", F.lit(1.3), F.lit(1.5))), "motion": saturate(zero("motion")), "surprisal": saturate(zero("surprisal"))}
+    penalty = {"mud": unit(F.col("concentration")), "spectrum": saturate(outside("slope", F.lit(-1.4), F.lit(-1.0))), "legality": unit(F.col("clip")), "boredom": 1 - saturate(F.col("luma_std"))}
+    signed = sum(SCORE_WEIGHTS[k] * v for k, v in reward.items()) - sum(SCORE_WEIGHTS[k] * v for k, v in penalty.items())
+    return c.withColumn("score", r6(signed / sum(SCORE_WEIGHTS.values())))
+
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 

@@ -137,3 +137,26 @@ def test_pooled_midrank(spark):
     x = np.array(values)
     assert len(got) == len(set(values)) and all(got[v] == pytest.approx(((x < v).sum() + ((x == v).sum() - 1) / 2) / (len(x) - 1)) for v in got)
     assert [r.midrank for r in windows.pooled_midrank(df.limit(1), value="v").collect()] == [0.5]
+
+
+def test_exact_medians_of_few_large_keys(spark):
+    rng = np.random.default_rng(8)
+    values = {"a": rng.normal(size=30_001), "b": rng.integers(0, 9, 20_000).astype(float), "c": np.array([3.0]), "d": np.array([1.0, 4.0]), "e": np.full(5_000, 2.5)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in values.items() for v in x] + [("a", None)], "k string, v double").repartition(6)
+    got = {r.k: (r.n, r.median) for r in robust.exact_median(df, key=["k"], value="v").collect()}
+    assert got == {k: (len(x), pytest.approx(float(np.median(x)))) for k, x in values.items()}
+    both = [{r.k: (r.n, r.median, r.scale) for r in robust.robust_scale(df, key=["k"], value="v", dealt=d).collect()} for d in (True, False)]
+    assert both[0].keys() == both[1].keys() and all(both[0][k] == pytest.approx(both[1][k]) for k in both[0])
+
+
+def test_counters_over_dealt_ranges(spark):
+    rng = np.random.default_rng(9)
+    rows = [("k", int(i), int(n)) for i, n in zip(np.sort(rng.choice(5_000, 400, replace=False)), rng.integers(0, 25, 400))]
+    df = spark.createDataFrame(rows, "k string, o long, n long")
+    got = {r.o: r.changes for r in folds.change_counter(df, key=["k"], order="o", rate="n", one=10, width=64).collect()}
+    total = 0
+    for _, o, n in rows:
+        assert got[o] == (total + n) // 10 - total // 10
+        total += n
+    counts = {r.o: r.in_span for r in folds.sliding_count(df, key=["k"], time="o", span=50, spans=3).collect()}
+    assert counts == {o: sum(o - 50 < p <= o for _, p, _ in rows) for _, o, _ in rows}
