@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 def limiter(df: DataFrame, *, key: list[str], time: str, tie: str, value: str, gap: int) -> DataFrame:
     """At most one write of each key in `gap`: a write inside the gap waits, and only the latest waiting one goes out.
 
-    A waiting write leaves at the end of the gap. The fold holds (due, last sent, waiting value) and runs over the ordered
-    writes of a key as one array, so a key's writes must fit a row; pre-split keys that do not.
-    Returns key, at, value in order.
+    A waiting write leaves at the end of the gap. Two gaps of silence leave nothing waiting and nothing due, so a key's
+    writes are cut there; the fold holds (due, waiting value) and runs over the ordered writes of a stretch as one array.
+    A stretch must fit a row. Returns key, at, value.
     """
+    silence = F.col(time) - F.lag(time).over(Window.partitionBy(*key).orderBy(time, tie)) >= 2 * gap
+    started = F.sum(F.when(silence, 1).otherwise(0)).over(Window.partitionBy(*key).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, 0))
     item = F.struct(F.col(time).alias("t"), F.col(tie).alias("o"), F.col(value).alias("v"))
-    ordered = df.groupBy(*key).agg(F.sort_array(F.collect_list(item)).alias("w"))
+    ordered = df.withColumn("_stretch", started).groupBy(*key, "_stretch").agg(F.sort_array(F.collect_list(item)).alias("w"))
     vt = df.schema[value].dataType.simpleString()
     start = F.expr(f"named_struct('due', cast(null as bigint), 'wait', cast(null as {vt}), 'out', cast(array() as array<struct<at: bigint, value: {vt}>>))")
 
