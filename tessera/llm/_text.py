@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 500_000
 U = np.uint64
@@ -143,3 +145,38 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     flag[order[1:][same]] = True
     flag[order[:-1][same]] = True
     return flag
+
+
+def packed(column: pa.Array) -> pa.Array:
+    """Each value compressed, with its size in front."""
+    codec = pa.Codec("zstd", 1)
+    out = []
+    for x in column.cast(pa.large_binary()).fill_null(b""):
+        data = x.as_buffer()
+        out.append(data.size.to_bytes(8, "little") + codec.compress(data, asbytes=True))
+    return pa.array(out, pa.binary())
+
+
+def unpacked(z: bytes) -> bytes:
+    size = int.from_bytes(z[:8], "little")
+    return pa.Codec("zstd").decompress(z[8:], size, asbytes=True) if size else b""
+
+
+def zipped(text: Column) -> Column:
+    """Compressed bytes of a text column, for shuffles of whole texts."""
+
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
+        return packed(column)
+
+    return run(text)
+
+
+def unzipped(z: Column) -> Column:
+    """Texts of a column that zipped() made."""
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([unpacked(x.as_py()).decode() if x.is_valid else None for x in column], pa.string())
+
+    return run(z)

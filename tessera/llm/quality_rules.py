@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import stored
-from tessera.llm._text import RangeHash, Texts, U, Words, mix, repeated, texts
+from tessera.llm._text import RangeHash, Texts, U, Words, mix, repeated, texts, unzipped, zipped
 
 N_BUCKETS = 1 << 14
 THRESHOLD = -0.045
@@ -138,12 +138,14 @@ def low_score(trusted: DataFrame, ratios: np.ndarray, usable: np.ndarray) -> flo
 def fit_ratio(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", smoothing: float = 1.0) -> np.ndarray:
     """Log-likelihood ratio of each bucket, trusted documents against the raw corpus, in units that put the threshold at THRESHOLD.
 
-    Equal texts share a fold, so no text is scored by its own copy. The trusted texts come from a shuffled join.
+    Equal texts share a fold, so no text is scored by its own copy. The trusted texts come from a shuffled join, to which
+    texts travel compressed.
     """
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
     ids = trusted_ids(labels).withColumnRenamed("doc_id", "_id")
     fold = F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int").alias("_fold")
-    trusted = stored(rows.join(ids.hint("shuffle_hash"), "_id", "left_semi").select("_text", fold), "quality-trusted")
+    packed = rows.select("_id", fold, zipped(F.col("_text")).alias("_z"))
+    trusted = stored(packed.join(ids.hint("shuffle_hash"), "_id", "left_semi").select(unzipped(F.col("_z")).alias("_text"), "_fold"), "quality-trusted")
     by_fold = count_buckets(trusted, "_text", "_fold", FOLDS)
     good = by_fold.sum(0)
     if not good.sum():

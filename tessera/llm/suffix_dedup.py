@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import stored
-from tessera.llm._text import RangeHash, Texts, U, texts
+from tessera.llm._text import RangeHash, Texts, U, texts, unpacked, zipped
 
 LENGTH = 400
 GRAM = 32
@@ -229,31 +229,6 @@ def _slices(keyed: DataFrame, classes: DataFrame, length: int) -> DataFrame:
     return joined.mapInArrow(cut, "doc_id long, th long, anchor long, copies long, parts long, part long, start int, n int, slice binary")
 
 
-def packed(column: pa.Array) -> pa.Array:
-    """Each value compressed, with its size in front."""
-    codec = pa.Codec("zstd", 1)
-    out = []
-    for x in column.cast(pa.large_binary()).fill_null(b""):
-        data = x.as_buffer()
-        out.append(data.size.to_bytes(8, "little") + codec.compress(data, asbytes=True))
-    return pa.array(out, pa.binary())
-
-
-def unpacked(z: bytes) -> bytes:
-    size = int.from_bytes(z[:8], "little")
-    return pa.Codec("zstd").decompress(z[8:], size, asbytes=True) if size else b""
-
-
-def zipped(text: Column) -> Column:
-    """Compressed bytes of a text column, for shuffles of whole texts."""
-
-    @F.arrow_udf("binary")
-    def run(column: pa.Array) -> pa.Array:
-        return packed(column)
-
-    return run(text)
-
-
 def _indexed(slices: DataFrame, length: int) -> DataFrame:
     """Marked ranges of the single classes (doc_id, th, start, marked), whole parts of anchors a batch.
 
