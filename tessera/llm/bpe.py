@@ -6,9 +6,13 @@ arc labelled u is led to a new copy of its target state that lacks the arc v, an
 to the state that v leads to. All arcs of one label lead to one state, so a state is kept as (state it was copied from,
 arc it lacks, time), an arc w as (arc whose presence it follows, time), and the 50,000 gadgets take linear time and room.
 
-Encoding a pre-split word is finding the one path whose labels spell it. The transition table is filled as it is asked:
-whether a state has an arc follows from the state tables. Words and arcs are remembered, both up to a bound. Decoding
-emits the byte labels of the arcs.
+Every prefix of a word is spelled by exactly one path, so reading the word byte by byte the automaton is in exactly one
+state after each byte: the label that ends there. It is the longest label ending there whose arc leaves the state that was
+reached where that label begins; the labels ending at a byte come from a table of byte transitions over the label trie,
+longest first. So a word is encoded in one pass, without search. The transition table is filled as it is asked: whether a
+state has an arc follows from the state tables. Words and arcs are remembered, both up to a bound. The words of a chunk of
+texts that were not met before are encoded together, one byte position of all of them after another. Decoding emits the
+byte labels of the arcs.
 
 Defined cases: a null or empty text has no tokens. Strings of added tokens in a text become those tokens, longest first
 at the leftmost place, as the tokenizers library does by default. Repeated rows are encoded alike.
@@ -18,10 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import sys
 from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,8 @@ from pyspark.sql import functions as F
 
 #: fixed values: the pre-splitting pattern of byte-level BPE vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS, CACHE_ARCS = 250_000, 400_000
+CACHE_WORDS, CACHE_ARCS, MEMO_BITS = 250_000, 400_000, 20
+LONG_WORD, CHUNK_CHARS = 64, 1_000_000
 BYTE_TIME, NEVER = -1, -2
 
 
@@ -57,6 +63,74 @@ class _Arcs(dict):
         return found
 
 
+class _Steps(dict):
+    """Byte transitions over the label trie: node << 8 | byte -> node of the longest suffix in it; emptied when full."""
+
+    def __init__(self, children: dict[int, int], back: array):
+        super().__init__()
+        self.children, self.back = children, back
+
+    def __missing__(self, key: int) -> int:
+        node, byte = key >> 8, key & 0xFF
+        while (found := self.children.get(node << 8 | byte)) is None and node:
+            node = self.back[node]
+        if len(self) >= CACHE_ARCS:
+            self.clear()
+        self[key] = found or 0
+        return found or 0
+
+
+class _Suffixes:
+    """Labels that end at a byte: `ending` is the longest one of a trie node, `shorter` the next one of a label, -1 if none."""
+
+    def __init__(self, token: dict[bytes, int]):
+        children: dict[int, int] = {}
+        self.ending = array("i", [-1])
+        self.size = dict(zip(token.values(), map(len, token)))
+        for label, t in token.items():
+            node = 0
+            for byte in label:
+                node = children.setdefault(node << 8 | byte, len(self.ending))
+                if node == len(self.ending):
+                    self.ending.append(-1)
+            self.ending[node] = t
+        back = array("i", bytes(4 * len(self.ending)))
+        self.step = _Steps(children, back)
+        self.shorter: dict[int, int] = {}
+        level = [(0, key & 0xFF, node) for key, node in children.items() if key < 256]
+        below: dict[int, list[tuple[int, int, int]]] = {}
+        for key, node in children.items():
+            below.setdefault(key >> 8, []).append((key >> 8, key & 0xFF, node))
+        while level:  # shortest first, so the suffixes of a node are done before it
+            for parent, byte, node in level:
+                back[node] = self.step.__missing__(back[parent] << 8 | byte) if parent else 0
+                rest = self.ending[back[node]]
+                if (t := self.ending[node]) >= 0:
+                    self.shorter[t] = rest
+                else:
+                    self.ending[node] = rest
+            level = [x for _, _, node in level for x in below.get(node, ())]
+
+
+class _Memo:
+    """A table by key as arrays: a key has one place, which the last key asked for there holds."""
+
+    def __init__(self, table: dict[int, int]):
+        self.table = table
+        self.keys, self.values = np.full(1 << MEMO_BITS, -1, np.int64), np.zeros(1 << MEMO_BITS, np.int32)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        place = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMO_BITS)
+        found = self.values[place]
+        missed = np.flatnonzero(self.keys[place] != keys)
+        if len(missed):
+            asked, which = np.unique(keys[missed], return_inverse=True)
+            found[missed] = np.fromiter((self.table[k] for k in asked.tolist()), np.int32, len(asked))[which]
+            # of keys with one place, all write key and value in the same order
+            self.keys[place[missed]], self.values[place[missed]] = keys[missed], found[missed]
+        return found
+
+
 @dataclass
 class Automaton:
     """State tables after all gadgets. Tokens are ids; `made` is the time a token's arc appeared, BYTE_TIME for bytes."""
@@ -67,12 +141,15 @@ class Automaton:
     continues: list[int]
     made: list[int]
     lacks: dict[int, int]
-    longest: int
     added: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.arcs = _Arcs(self)
 
+    @cached_property
+    def suffixes(self) -> "_Suffixes":
+        return _Suffixes(self.token)
+
     def arc(self, u: int, t: int, before: int | None = None) -> bool:
         """Does the state that label u leads to have an arc t, after all rules or those before a time?
 
@@ -94,34 +171,74 @@ class Automaton:
                 limit, u = a, continues[u]
 
     def encode(self, word: bytes) -> list[int]:
-        """Tokens of one pre-split word: the one path of the automaton whose labels spell it.
-
-        Long labels are tried first. A state that was left without a path is remembered, so none is entered twice.
-        """
-        token, arcs, longest, n = self.token, self.arcs, self.longest, len(word)
-        if (whole := token.get(word)) is not None:
+        """Tokens of one pre-split word: the labels of the one path of the automaton that spells it."""
+        if (whole := self.token.get(word)) is not None:
             return [whole]
-        path, ends, dead = [], [0], set()
-        at, end, u = 0, min(n, longest), -1
-        while at < n:
-            while end > at:
-                t = token.get(word[at:end])
-                if t is not None and (u < 0 or arcs[u << 32 | t]) and not (dead and (end, t) in dead):
-                    path.append(t)
-                    ends.append(end)
-                    at, u = end, t
-                    end = min(n, at + longest)
-                    break
-                end -= 1
-            else:
-                if not path:
-                    raise ValueError(f"no path for {word!r}")
-                dead.add((at, u))
-                end = ends.pop() - 1
-                path.pop()
-                at, u = ends[-1], path[-1] if path else -1
+        step, ending, shorter, size, arcs = self.suffixes.step, self.suffixes.ending, self.suffixes.shorter, self.suffixes.size, self.arcs
+        node, reached = 0, [-1]
+        for at, byte in enumerate(word, 1):
+            node = step[node << 8 | byte]
+            t = ending[node]
+            while t >= 0 and (u := reached[at - size[t]]) >= 0 and not arcs[u << 32 | t]:
+                t = shorter[t]
+            if t < 0:
+                raise ValueError(f"no path for {word!r}")
+            reached.append(t)
+        path, at = [], len(word)
+        while at:
+            path.append(t := reached[at])
+            at -= size[t]
+        path.reverse()
         return path
 
+    @cached_property
+    def tables(self) -> tuple[_Memo, _Memo, np.ndarray, np.ndarray, np.ndarray]:
+        """The tables that `encode` walks, as arrays: steps, arcs, ending, shorter, size."""
+        shorter, size = np.full(len(self.labels), -1, np.int32), np.zeros(len(self.labels), np.int64)
+        for table, filled in ((self.suffixes.shorter, shorter), (self.suffixes.size, size)):
+            filled[list(table)] = list(table.values())
+        return _Memo(self.suffixes.step), _Memo(self.arcs), np.array(self.suffixes.ending), shorter, size
+
+    def encode_many(self, words: list[bytes]) -> list[bytes]:
+        """`encode` for many short words, none empty, as little-endian 32-bit integers."""
+        step, arcs, ending, shorter, size = self.tables
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-n, kind="stable")
+        start, length = (np.cumsum(n) - n)[order], n[order]
+        data = np.frombuffer(b"".join(words), np.uint8)
+        reached = np.full((length[0] + 1, len(words)), -1, np.int32)
+        node = np.zeros(len(words), np.int64)
+        for at in range(1, length[0] + 1):
+            rows = np.arange(np.searchsorted(-length, -at, "right"))  # the words with so many bytes
+            node = step[node[: len(rows)] << 8 | data[start[: len(rows)] + at - 1]].astype(np.int64)
+            t = ending[node]
+            while len(rows):
+                if (t < 0).any():
+                    raise ValueError(f"no path for {words[order[rows[t < 0][0]]]!r}")
+                u = reached[at - size[t], rows].astype(np.int64)
+                fits = u < 0
+                inner = np.flatnonzero(~fits)
+                fits[inner] = arcs[u[inner] << 32 | t[inner]] != 0
+                reached[at, rows[fits]] = t[fits]
+                rows, t = rows[~fits], shorter[t[~fits]]
+        paths, at, rows = [], length.copy(), np.arange(len(words))
+        while len(rows):
+            t = reached[at[rows], rows]
+            paths.append((rows, t))
+            at[rows] -= size[t]
+            rows = rows[at[rows] > 0]
+        count = np.zeros(len(words), np.int64)
+        for rows, _ in paths:
+            count[rows] += 1
+        end = np.cumsum(count)
+        ids = np.empty(count.sum(), "<u4")
+        for back, (rows, t) in enumerate(paths, 1):
+            ids[end[rows] - back] = t
+        raw, out = ids.tobytes(), [b""] * len(words)
+        for word, a, b in zip(order.tolist(), (4 * (end - count)).tolist(), (4 * end).tolist()):
+            out[word] = raw[a:b]
+        return out
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Byte labels of the arcs, one after another."""
         labels = self.labels
@@ -156,7 +273,7 @@ def compile_automaton(path: str) -> Automaton:
         if made[w] == NEVER:
             follows[w], continues[w], made[w] = u, v, time
     token = {labels[i]: i for t, i in vocab.items() if t not in added and made[i] != NEVER}
-    out = Automaton(labels, token, follows, continues, made, lacks, max(map(len, token)), added)
+    out = Automaton(labels, token, follows, continues, made, lacks, added)
     # a token whose own bytes are tokenized otherwise is on no path
     for label, w in [(label, w) for label, w in token.items() if made[w] >= 0]:
         if not out.arc(follows[w], continues[w], made[w]):
@@ -164,46 +281,63 @@ def compile_automaton(path: str) -> Automaton:
     return out
 
 
-class _Cache(dict):
-    """Words and their ids as little-endian 32-bit integers; emptied when full."""
-
-    def __init__(self, automaton: Automaton):
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        found = array("I", self.automaton.encode(word.encode())).tobytes()
-        if sys.byteorder == "big":
-            found = np.frombuffer(found, ">u4").astype("<u4").tobytes()
-        if len(word) < 64:
-            self[word] = found
-        return found
-
-
 class Encoder:
     """Encodes and decodes whole texts."""
 
     def __init__(self, automaton: Automaton):
         self.automaton = automaton
-        self.cache = _Cache(automaton)
+        self.recent: dict[str, bytes] = {}  # short words and their ids; when full, those not met since it was last full go
+        self.older: dict[str, bytes] = {}
         self.words = regex.compile(PATTERN).findall
         added = sorted(automaton.added, key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, added))) if added else None
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text, little-endian 32-bit."""
-        cache, added = self.cache, self.automaton.added
-        if self.added is None or not any(a in text for a in added):
-            return b"".join(map(cache.__getitem__, self.words(text)))
+    def split(self, text: str) -> list[str]:
+        """Pre-split words and the strings of added tokens."""
+        if self.added is None or not any(a in text for a in self.automaton.added):
+            return self.words(text)
         out, at = [], 0
         for m in self.added.finditer(text):
-            out += map(cache.__getitem__, self.words(text[at : m.start()]))
-            out.append(np.uint32(added[m[0]]).astype("<u4").tobytes())
+            out += self.words(text[at : m.start()])
+            out.append(m[0])
             at = m.end()
-        out += map(cache.__getitem__, self.words(text[at:]))
-        return b"".join(out)
+        return out + self.words(text[at:])
+
+    def ids_of(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each word, little-endian 32-bit; the words not remembered are encoded together."""
+        automaton, recent, older = self.automaton, self.recent, self.older
+        out, new = {}, []
+        for w in words:
+            if (found := recent.get(w) or older.get(w)) is not None:
+                out[w] = found
+            elif w in automaton.added:  # a word that is an added token's string can be nothing else
+                out[w] = np.array([automaton.added[w]], "<u4").tobytes()
+            elif len(w) < LONG_WORD:
+                new.append(w)
+            else:
+                out[w] = np.array(automaton.encode(w.encode()), "<u4").tobytes()
+        if new:
+            out.update(zip(new, automaton.encode_many([w.encode() for w in new])))
+        if len(recent) + len(out) > CACHE_WORDS // 2:
+            self.older, self.recent = recent, {}
+        self.recent.update((w, ids) for w, ids in out.items() if len(w) < LONG_WORD)
+        return out
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text, little-endian 32-bit, chunk by chunk of texts."""
+        chunk, chars = [], 0
+        for text in chain(texts, [None]):
+            if text is None or chars >= CHUNK_CHARS:
+                ids = self.ids_of(set().union(*chunk)).__getitem__
+                yield from (b"".join(map(ids, words)) for words in chunk)
+                chunk, chars = [], 0
+            if text is not None:
+                chunk.append(self.split(text))
+                chars += len(text)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of one text."""
+        return next(self.encode_all([text]))
 
     def decode(self, ids: bytes) -> str:
         return self.automaton.decode(np.frombuffer(ids, "<u4")).decode("utf-8", "replace")
@@ -225,7 +359,7 @@ def encode(text: Column | str, path: str) -> Column:
     @F.arrow_udf("array<int>")
     def encoded(column: pa.Array) -> pa.Array:
         e = encoder(path)
-        ids = [e.encode(x.as_py() or "") for x in column]
+        ids = list(e.encode_all(x.as_py() or "" for x in column))
         offsets = np.zeros(len(ids) + 1, np.int32)
         np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -251,8 +385,7 @@ def digests(text: Column | str, path: str) -> Column:
     @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
     def digested(column: pa.Array) -> pa.Array:
         e, rows = encoder(path), ([], [], [])
-        for x in column:
-            ids = e.encode(x.as_py() or "")
+        for ids in e.encode_all(x.as_py() or "" for x in column):
             rows[0].append(len(ids) // 4)
             rows[1].append(hashlib.sha256(ids).hexdigest())
             rows[2].append(hashlib.sha256(e.decode(ids).encode()).hexdigest())

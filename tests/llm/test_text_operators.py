@@ -220,7 +220,7 @@ def test_packing_wastes_little():
     assert sum(sizes) / final.sum() > 0.98
 
 
-def test_tokenizer_equals_the_library(spark, odd):
+def test_tokenizer_equals_the_library(spark, odd, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -233,6 +233,13 @@ def test_tokenizer_equals_the_library(spark, odd):
         ids = own.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == want.ids
         assert own.decode(ids) == library.decode(want.ids, skip_special_tokens=False)
+    alone = [own.encode(text) for text in extra]
+    for chars, words in ((1_000_000, 250_000), (100, 40)):  # chunks of a text or two, words soon forgotten
+        monkeypatch.setattr(bpe, "CHUNK_CHARS", chars)
+        monkeypatch.setattr(bpe, "CACHE_WORDS", words)
+        assert list(bpe.Encoder(own.automaton).encode_all(extra)) == alone
+    monkeypatch.undo()
+    assert [own.automaton.encode(w) for w in (b"VBLCCCCE", b"a" * 63)] == [np.frombuffer(x, "<u4").tolist() for x in own.automaton.encode_many([b"VBLCCCCE", b"a" * 63])]
     rows = odd.select("text", bpe.digests("text", path).alias("d"), bpe.decode(bpe.encode("text", path), path).alias("back")).collect()
     for r in rows:
         ids = np.array(library.encode(r.text or "", add_special_tokens=False).ids, "<u4")
