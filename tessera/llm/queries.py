@@ -80,5 +80,48 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", made.alias("made")).select("doc_id", "made.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op4_embedding_dedup, op5_quality_classifier, op6_packing, op7_bpe, op8_html_extract, op9_suffix_dedup, op10_simhash)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat_format import format_digest
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # conversation -7 says the template's own control strings
+    said = F.lit(r"\### Assistant: </turn> ok").alias("text")
+    two = F.array(*[F.struct(F.lit(i).alias("turn"), F.lit(r).alias("role"), said) for i, r in enumerate(("user", "assistant"))])
+    extra = spark.range(1).select(F.lit(-7).alias("conv_id"), F.explode(two).alias("t")).select("conv_id", "t.turn", "t.role", "t.text")
+    return format_digest(turns.unionByName(extra))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.periodic_runs import run_digest
+
+    return run_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.conversation_repair import repair_digest
+
+    return repair_digest(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_sharding, op4_embedding_dedup, op5_quality_classifier, op6_packing, op7_bpe, op8_html_extract, op9_suffix_dedup, op10_simhash, op11_chat_format, op12_periodic_runs, op13_conversation_repair)}
+ORACLE_SQL: dict[str, str] = {
+    "op11_chat_format": r"""
+        with turns as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select * from (values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+        ), marked as (
+            select *, lag(role) over (partition by conv_id order by turn nulls first, role, text) as before,
+                row_number() over (partition by conv_id order by turn nulls first, role, text) as place,
+                length(text) + length(text) - length(replace(text, '\', ''))
+                    + coalesce(list_sum([length(x) - 2 for x in regexp_extract_all(text, '#{3,}')]), 0)
+                    + (length(text) - length(replace(text, '</turn>', ''))) // 7 as size
+            from turns
+        )
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+            cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by place) filter (where role = 'assistant'), '')) as loss_sha256,
+            cast(sum(size + 9 + case when before is null or before <> role then 6 + length(url_encode(role)) else 0 end) as bigint) as formatted_chars
+        from marked group by conv_id
+    """,
+}
