@@ -6,7 +6,6 @@ Kernels take one array and give plain numbers; the UDFs hand Spark batches to th
 from __future__ import annotations
 
 from collections.abc import Callable
-from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -138,26 +137,27 @@ def gabor_energy(frame: np.ndarray, wavelengths: tuple[float, ...] = (2.0, 4.0),
     return {"peak": float(share.max()), "concentration": float((share**2).sum())}
 
 
-def acf_peak(x: np.ndarray, alpha: float = 0.05) -> tuple[float, float, bool]:
-    """Strongest local peak of the autocorrelation up to half the length: refined lag, strength, and is it beyond white noise?
-
-    The bound is a two-sided normal one for all lags looked at. Without a peak all are 0.
-    """
-    n = len(x)
-    limit = n // 2
-    spectrum = np.fft.rfft(x - x.mean(), 2 * n)
-    acf = np.fft.irfft(np.abs(spectrum) ** 2)[: limit + 2]
-    if limit < 2 or acf[0] <= 0:
-        return 0.0, 0.0, False
-    acf = acf / acf[0]
-    mid = acf[1 : limit + 1]
-    top = np.flatnonzero((mid > acf[:limit]) & (mid > acf[2 : limit + 2]))
-    if not len(top):
-        return 0.0, 0.0, False
-    k = int(top[mid[top].argmax()]) + 1
-    left, centre, right = acf[k - 1 : k + 2]
-    strength = float(np.clip(centre, 0, 1))
-    return float(k - 0.5 * (right - left) / (left - 2 * centre + right)), strength, strength >= normal_quantile(1 - alpha / (2 * limit)) / np.sqrt(n)
+def _acf_peaks(rows: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per row of a matrix the strongest inner peak of the autocorrelation up to half the length: its lag, refined by a
+    parabola, its height within [0, 1], and whether white noise would reach it at no lag with probability 1 - alpha."""
+    count, n = rows.shape
+    half = n // 2
+    lag, height, real = np.zeros(count), np.zeros(count), np.zeros(count, bool)
+    if half < 2:
+        return lag, height, real
+    level = rows - rows.mean(1, keepdims=True)
+    acf = np.fft.irfft(np.abs(np.fft.rfft(level, 2 * n)) ** 2)[:, : half + 2]
+    acf = acf / np.where(acf[:, :1] > 0, acf[:, :1], 1.0)
+    rise = np.diff(acf)
+    peaked = np.where((rise[:, :-1] > 0) & (rise[:, 1:] < 0), acf[:, 1:-1], -np.inf)
+    at = peaked.argmax(1)
+    has = np.isfinite(peaked[np.arange(count), at])
+    left, mid, right = (np.take_along_axis(acf, at[:, None] + k, 1)[:, 0] for k in range(3))
+    bend = left - 2 * mid + right
+    lag[has] = (at + 1 - (right - left) / np.where(bend, 2 * bend, 1.0))[has]
+    height[has] = np.clip(mid, 0, 1)[has]
+    real[has] = height[has] * np.sqrt(n) >= normal_quantile(1 - alpha / (2 * half))
+    return lag, height, real
 
 
 @lru_cache(maxsize=4096)
@@ -165,41 +165,77 @@ def _comb_bound(alpha: float, inside: int, outside: int) -> float:
     return beta_quantile(1 - alpha, inside, outside)
 
 
-def dynamics(series: np.ndarray, quiet: float = 1e-6, alpha: float = 0.05, most: int = 4) -> dict[str, float]:
-    """0 static, 1 periodic, 2 quasi-periodic, 3 chaotic, with period, strength and winding number (0 where there is none).
+def regimes(rows: np.ndarray, quiet: float = 1e-6, alpha: float = 0.05, most: int = 4) -> dict[str, np.ndarray]:
+    """Kind, period, strength and winding number of series of one length, the rows of a matrix.
 
-    Without a significant period a series is chaotic, and so is one whose power in the bins next to the period's harmonics
-    is no more than a like share of white noise would hold (a Beta quantile). Two lines beyond Fisher's g whose ratio is,
-    at the resolution there is, no fraction with a denominator of at most `most` are quasi-periodic.
+    Kinds: 0 static (a range of at most `quiet`), 1 periodic, 2 quasi-periodic, 3 chaotic. A series without a real period is
+    chaotic; so is one whose bins at most one off a harmonic hold no more of the power than the upper alpha quantile of a
+    like number of white-noise bins (Beta). A series is quasi-periodic if its two strongest lines beyond Fisher's g are more
+    than a bin off every ratio of whole numbers with a denominator of at most `most`. Winding is cycles a step, 0 unless
+    periodic or quasi-periodic.
     """
-    n = len(series)
-    if n < 4 or not np.isfinite(series).all():
-        return {}
-    kind = lambda k, period=0.0, strength=0.0: {"kind": float(k), "period": period, "strength": strength, "winding": 1 / period if k in (1, 2) else 0.0}
-    if np.ptp(series) <= quiet:
-        return kind(0)
-    period, strength, significant = acf_peak(series, alpha)
-    if not significant:
-        return kind(3, 0.0, strength)
-    power = np.abs(np.fft.rfft((series - series.mean()) * np.hanning(n + 1)[:-1])) ** 2
-    power[1 : (n + 1) // 2] *= 2  # one side stands for both
-    power = power[1:]
-    bins, total = len(power), power.sum()
-    # bin k (from 0) has k + 1 cycles over the series
-    tone = n / period
-    centre = np.rint(np.arange(1, max(int(bins / tone), 1) + 1) * tone).astype(int) - 1
-    comb = np.zeros(bins, bool)
-    for off in (-1, 0, 1):
-        comb[np.clip(centre + off, 0, bins - 1)] = True
-    inside = int(comb.sum())
-    if bins < 3 or total <= 0 or (inside < bins and power[comb].sum() / total <= _comb_bound(alpha, inside, bins - inside)):
-        return kind(3, period, strength)
-    line = np.flatnonzero((power[1:-1] > power[:-2]) & (power[1:-1] > power[2:]) & (power[1:-1] >= fisher_g_critical(bins, alpha) * total)) + 1
-    if len(line) < 2:
-        return kind(1, period, strength)
-    low, high = sorted(line[np.argsort(power[line])[-2:]] + 1)
-    lock = Fraction(high / low).limit_denominator(most)
-    return kind(1 if abs(high - float(lock) * low) <= 1 else 2, period, strength)
+    count, n = rows.shape
+    period, strength, real = _acf_peaks(rows, alpha)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    power = np.abs(np.fft.rfft((rows - rows.mean(1, keepdims=True)) * hann)) ** 2
+    sides = np.full(power.shape[1], 2.0)
+    sides[[0] if n % 2 else [0, -1]] = 1.0
+    power = (power * sides)[:, 1:]
+    cycles = np.arange(1, power.shape[1] + 1)
+    total = power.sum(1)
+    period = np.where(real, period, 0.0)
+    real &= (len(cycles) > 2) & (total > 0)
+    share = power / np.where(total > 0, total, 1.0)[:, None]
+
+    # how far a bin is off the harmonics on both its sides; a period under two steps has its first one in the last bin
+    tone = (n / np.where(real, period, n / 2))[:, None]
+    last = np.maximum(np.floor(len(cycles) / tone), 1)
+    below = np.floor(cycles / tone)
+    off = np.minimum(*(np.abs(cycles - np.minimum(np.rint(np.clip(h, 1, last) * tone), len(cycles) + 1)) for h in (below, below + 1)))
+    comb = off <= 1
+    width, held = comb.sum(1), (share * comb).sum(1)
+    for i in np.flatnonzero(real & (width < len(cycles))):
+        real[i] = held[i] > _comb_bound(alpha, int(width[i]), len(cycles) - int(width[i]))
+
+    line = np.zeros_like(comb)
+    slope = np.diff(share)
+    line[:, 1:-1] = (slope[:, :-1] > 0) & (slope[:, 1:] < 0) & (share[:, 1:-1] >= fisher_g_critical(len(cycles), alpha))
+    top = np.argsort(np.where(line, share, -1.0))[:, -2:] + 1
+    slow, fast = top.min(1, initial=len(cycles)), top.max(1, initial=1)
+    by = np.arange(1, most + 1)[:, None]
+    locked = (np.abs(fast - np.rint(by * fast / slow) / by * slow) <= 1).any(0)
+    kind = np.where(np.ptp(rows, axis=1) <= quiet, 0.0, np.where(~real, 3.0, np.where((line.sum(1) > 1) & ~locked, 2.0, 1.0)))
+    period, strength = np.where(kind > 0, period, 0.0), np.where(kind > 0, strength, 0.0)
+    turns = np.isin(kind, (1.0, 2.0))
+    return {"kind": kind, "period": period, "strength": strength, "winding": np.where(turns, 1 / np.where(turns, period, 1.0), 0.0)}
+
+
+REGIME = ("kind", "period", "strength", "winding")
+
+
+def dynamics(series: np.ndarray, **options) -> dict[str, float]:
+    """regimes() of one series."""
+    return {k: float(v[0]) for k, v in regimes(series[None, :], **options).items()} if len(series) > 3 and np.isfinite(series).all() else {}
+
+
+def series_regimes(series: Column, **options) -> Column:
+    """Struct of regimes() for a column of series, those of one length in a batch at once; null for unfit ones."""
+
+    @F.arrow_udf("struct<" + ", ".join(f"{k}: double" for k in REGIME) + ">")
+    def run(column: pa.Array) -> pa.Array:
+        values = np.asarray(column.values.cast(pa.float64()).to_numpy(zero_copy_only=False), np.float64)
+        start, size = np.asarray(column.offsets)[:-1], np.diff(np.asarray(column.offsets))
+        out, fit = np.zeros((len(REGIME), len(column))), np.zeros(len(column), bool)
+        for n in np.unique(size[size > 3]):
+            at = np.flatnonzero((size == n) & np.asarray(column.is_valid()))
+            rows = values[start[at][:, None] + np.arange(n)]
+            good = np.isfinite(rows).all(1)
+            fit[at[good]] = True
+            if good.any():
+                out[:, at[good]] = list(regimes(rows[good], **options).values())
+        return pa.StructArray.from_arrays([pa.array(x) for x in out], list(REGIME), mask=pa.array(~fit))
+
+    return run(series)
 
 
 def best_lag(a: np.ndarray, b: np.ndarray, most: int = 16) -> dict[str, float]:

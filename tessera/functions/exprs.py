@@ -64,13 +64,13 @@ def red_quantity(r: Column, g: Column, b: Column) -> Column:
 
 
 def saturate(x: Column) -> Column:
-    """x / (1 + x) for positive x, else 0."""
-    return F.when(x > 0, x / (1 + x)).otherwise(F.lit(0.0))
+    """Positive values drawn into [0, 1), one half at 1; 0 for others and for nulls."""
+    return 1 - 1 / (1 + F.greatest(x, F.lit(0.0)))
 
 
 def band_distance(x: Column, low: float, high: float) -> Column:
-    """How far x lies outside [low, high]."""
-    return F.greatest(F.lit(low) - x, x - F.lit(high), F.lit(0.0))
+    """How far x lies from the nearest value in [low, high]."""
+    return F.abs(x - F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
 def live_floor(a: Column, b: Column) -> Column:

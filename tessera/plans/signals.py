@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays
-from tessera.functions.exprs import saturate
+from tessera.functions.exprs import band_distance, saturate
 from tessera.plans.catalogue import register
 from tessera.plans.sequences import LIMITER_SQL
 from tessera.plans.tables import events, r6, table
@@ -81,11 +81,29 @@ def series_dynamics(spark: SparkSession, d: str) -> DataFrame:
     """Dynamics class, period, strength and winding number of each user's hourly value series."""
     hour = events(spark, d).groupBy("user_id", F.floor(F.col("t") / 3_600_000_000).alias("h")).agg(F.avg("value").alias("v"))
     rows = hour.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "v"))), lambda z: z["v"]).alias("x"))
-    m = arrays.array_metric(arrays.dynamics, ["kind", "period", "strength", "winding"])
-    return rows.select("user_id", m(F.col("x")).alias("m")).select("user_id", "m.*")
+    return rows.select("user_id", arrays.series_regimes(F.col("x")).alias("m")).select("user_id", "m.*")
 
 
-SCORE_WEIGHTS = {"mud": 1.0, "spectrum": 1.0, "fractal": 1.0, "legality": 1.0, "motion": 0.5, "surprisal": 1.0, "boredom": 0.5}
+#: fixed values: term of a clip's score, its descriptor, its weight (negative for a penalty), how the descriptor becomes a
+#: share of 1, and the band it should lie in
+SCORE_TERMS = [
+    ("mud", "concentration", -1.0, "share", None),
+    ("spectrum", "slope", -1.0, "outside", (-1.4, -1.0)),
+    ("fractal", "dimension", 1.0, "inside", (1.3, 1.5)),
+    ("legality", "clip", -1.0, "share", None),
+    ("motion", "motion", 0.5, "much", None),
+    ("surprisal", "surprisal", 1.0, "much", None),
+    ("boredom", "luma_std", -0.5, "little", None),
+]
+
+
+def score_term(descriptor: str, shape: str, band: tuple[float, float] | None) -> Column:
+    """A descriptor as a share of 1."""
+    x = F.col(descriptor)
+    if shape == "share":
+        return F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    size = saturate(band_distance(x, *band) if band else x)
+    return 1 - size if shape in ("inside", "little") else size
 
 
 def clip_descriptors(spark: SparkSession, d: str) -> DataFrame:
@@ -114,14 +132,11 @@ def clip_descriptors(spark: SparkSession, d: str) -> DataFrame:
 @register()
 def clip_scores(spark: SparkSession, d: str) -> DataFrame:
     """Descriptor and weighted score in [-1, 1] of each label's clip: rewards less penalties over the sum of the weights."""
-    c = clip_descriptors(spark, d)
-    outside = lambda v, low, high: F.greatest(low - F.col(v), F.lit(0.0), F.col(v) - high)
-    unit = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-    zero = lambda v: F.coalesce(F.col(v), F.lit(0.0))
-    reward = {"fractal": 1 - saturate(outside("dimension", F.lit(1.3), F.lit(1.5))), "motion": saturate(zero("motion")), "surprisal": saturate(zero("surprisal"))}
-    penalty = {"mud": unit(F.col("concentration")), "spectrum": saturate(outside("slope", F.lit(-1.4), F.lit(-1.0))), "legality": unit(F.col("clip")), "boredom": 1 - saturate(F.col("luma_std"))}
-    signed = sum(SCORE_WEIGHTS[k] * v for k, v in reward.items()) - sum(SCORE_WEIGHTS[k] * v for k, v in penalty.items())
-    return c.withColumn("score", r6(signed / sum(SCORE_WEIGHTS.values())))
+    score, weights = F.lit(0.0), 0.0
+    for _, descriptor, weight, shape, band in SCORE_TERMS:
+        score += weight * score_term(descriptor, shape, band)
+        weights += abs(weight)
+    return clip_descriptors(spark, d).withColumn("score", r6(score / weights))
 
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"

@@ -106,7 +106,7 @@ def test_clip_scores(spark, frames):
         slope = r.slope
         reward = (1 - saturate(max(1.3 - dimension, 0, dimension - 1.5))) + 0.5 * saturate(r.motion) + saturate(bits)
         penalty = r.concentration + saturate(max(-1.4 - slope, 0, slope + 1.0)) + min(1, r.clip) + 0.5 * (1 - saturate(r.luma_std))
-        assert r.score == pytest.approx((reward - penalty) / sum(signals.SCORE_WEIGHTS.values()), abs=1e-6)
+        assert r.score == pytest.approx((reward - penalty) / sum(abs(t[2]) for t in signals.SCORE_TERMS), abs=1e-6)
 
 
 def test_aligned_sequences(spark, events):
