@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import kept
 
 def islands(df: DataFrame, *, key: list[str], order: list[str], same: Column | str) -> DataFrame:
     """df with `island`: a number that rises (from 1) whenever `same` differs from the row before."""
@@ -87,3 +88,52 @@ def sweep_cover(spans: DataFrame, *, key: list[str], start: str, end: str) -> Da
     w = Window.partitionBy(*key).orderBy("at")
     covered = marks.select(*key, F.col("at").alias("from"), F.lead("at").over(w).alias("to"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cover"))
     return covered.where("to is not null and cover > 0")
+
+
+def dealt(df: DataFrame, *, key: list[str], by: str, ranges: int = 32) -> DataFrame:
+    """df with `_range`: each key's rows cut by about equal quantiles of a number, so that a hot key is many tasks.
+
+    The cuts come from a sketch; any cuts are right, as what is computed over ranges carries exact sums from one to the next.
+    """
+    cuts = df.groupBy(*key).agg(F.percentile_approx(F.col(by).cast("double"), F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1_000)).alias("_cuts"))
+    below = F.size(F.filter("_cuts", lambda x: x < F.col(by).cast("double")))
+    return df.join(cuts, key).withColumn("_range", F.when(F.col(by).isNull(), 0).otherwise(below)).drop("_cuts")
+
+
+def running(df: DataFrame, *, key: list[str], order: list[str], sums: dict[str, str], peers: bool = True) -> DataFrame:
+    """df, which has `_range`, with running sums over a key in order: ranges apart, each from the sums of those before.
+
+    sums maps new columns to summed ones; order begins with what ranges were dealt by. With peers, rows equal in order count as
+    one place.
+    """
+    own = df.groupBy(*key, "_range").agg(*[F.sum(c).alias(f"_s_{new}") for new, c in sums.items()])
+    ahead = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    start = own.select(*key, "_range", *[F.coalesce(F.sum(f"_s_{new}").over(ahead), F.lit(0)).alias(f"_s_{new}") for new in sums])
+    w = Window.partitionBy(*key, "_range").orderBy(*order)
+    w = w.rangeBetween(Window.unboundedPreceding, 0) if peers else w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.select("*", *[F.sum(c).over(w).alias(new) for new, c in sums.items()])
+    return rows.join(start, [*key, "_range"]).withColumns({new: F.col(new) + F.col(f"_s_{new}") for new in sums}).drop(*[f"_s_{new}" for new in sums])
+
+
+def before(df: DataFrame, *, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df, which has `_range`, with the value of the row before in a key's order, null for the first."""
+    w = Window.partitionBy(*key, "_range").orderBy(*order)
+    last = df.groupBy(*key, "_range").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    carry = last.select(*key, "_range", F.lag("_last").over(Window.partitionBy(*key).orderBy("_range"))[value].alias("_carry"))
+    rows = df.select("*", F.lag(value).over(w).alias(name), (F.row_number().over(w) == 1).alias("_first"))
+    return rows.join(carry, [*key, "_range"]).withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col(name))).drop("_first", "_carry")
+
+
+def meetings(queries: DataFrame, spans: DataFrame, *, key: list[str], first: str, last: str) -> DataFrame:
+    """queries with `met`: how many spans [first, last] of their key meet their own [first, last].
+
+    A sweep: spans that began by a query's end, less those that ended before its start, as running counts over ranges. No
+    pair of intervals is formed. Queries must be distinct rows.
+    """
+    mark = lambda at, kind, opened, closed, side: F.struct(F.col(at).cast("long").alias("at"), F.lit(kind).alias("kind"), F.lit(opened).alias("opened"), F.lit(closed).alias("closed"), F.lit(side).alias("side"))
+    ends = spans.select(*key, F.explode(F.array(mark(first, 0, 1, 0, 0), mark(last, 2, 0, 1, 0))).alias("m"))
+    asks = queries.select(*key, F.struct("*").alias("_q"), F.explode(F.array(mark(last, 1, 0, 0, 1), mark(first, 1, 0, 0, -1))).alias("m"))
+    points = kept(asks.unionByName(ends, allowMissingColumns=True).select(*key, "_q", "m.*"))
+    swept = running(dealt(points, key=key, by="at"), key=key, order=["at", "kind"], sums={"_open": "opened", "_shut": "closed"})
+    found = F.sum(F.when(F.col("side") > 0, F.col("_open")).otherwise(-F.col("_shut")))
+    return swept.where("_q is not null").groupBy("_q").agg(found.alias("met")).select("_q.*", "met")

@@ -7,7 +7,7 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -39,3 +39,14 @@ def ship(spark: SparkSession) -> None:
         f.write(packed.getvalue())
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and kept under spark.checkpoint.dir: its lineage ends there, so what is built on it may read it often."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
