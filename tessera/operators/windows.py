@@ -100,19 +100,21 @@ def dealt(df: DataFrame, *, key: list[str], by: str, ranges: int = 32) -> DataFr
     return df.join(cuts, key).withColumn("_range", F.when(F.col(by).isNull(), 0).otherwise(below)).drop("_cuts")
 
 
-def running(df: DataFrame, *, key: list[str], order: list[str], sums: dict[str, str], peers: bool = True) -> DataFrame:
+def running(df: DataFrame, *, key: list[str], order: list[str], sums: dict[str, str], peers: bool = True, fold: str = "sum") -> DataFrame:
     """df, which has `_range`, with running sums over a key in order: ranges apart, each from the sums of those before.
 
     sums maps new columns to summed ones; order begins with what ranges were dealt by. With peers, rows equal in order count as
-    one place.
+    one place. fold is sum, max or min.
     """
-    own = df.groupBy(*key, "_range").agg(*[F.sum(c).alias(f"_s_{new}") for new, c in sums.items()])
+    of = {"sum": F.sum, "max": F.max, "min": F.min}[fold]
+    both = {"sum": lambda a, b: a + F.coalesce(b, F.lit(0)), "max": F.greatest, "min": F.least}[fold]
+    own = df.groupBy(*key, "_range").agg(*[of(c).alias(f"_s_{new}") for new, c in sums.items()])
     ahead = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    start = own.select(*key, "_range", *[F.coalesce(F.sum(f"_s_{new}").over(ahead), F.lit(0)).alias(f"_s_{new}") for new in sums])
+    start = own.select(*key, "_range", *[of(f"_s_{new}").over(ahead).alias(f"_s_{new}") for new in sums])
     w = Window.partitionBy(*key, "_range").orderBy(*order)
     w = w.rangeBetween(Window.unboundedPreceding, 0) if peers else w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select("*", *[F.sum(c).over(w).alias(new) for new, c in sums.items()])
-    return rows.join(start, [*key, "_range"]).withColumns({new: F.col(new) + F.col(f"_s_{new}") for new in sums}).drop(*[f"_s_{new}" for new in sums])
+    rows = df.select("*", *[of(c).over(w).alias(new) for new, c in sums.items()])
+    return rows.join(start, [*key, "_range"]).withColumns({new: both(F.col(new), F.col(f"_s_{new}")) for new in sums}).drop(*[f"_s_{new}" for new in sums])
 
 
 def before(df: DataFrame, *, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
