@@ -26,7 +26,7 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 def _load() -> None:
     import importlib
 
-    for module in ("event_joins", "profile", "sequences", "settings", "signals", "evidence", "more_signals", "profile_fit", "takes", "scores", "stored", "archives", "clips", "moved", "bracket_lines", "assigned", "sectioned", "structures"):
+    for module in ("event_joins", "profile", "sequences", "settings", "signals", "evidence", "more_signals", "profile_fit", "takes", "scores", "stored", "archives", "clips", "moved", "bracket_lines", "assigned", "sectioned", "structures", "spectral"):
         importlib.import_module(f"tessera.plans.{module}")
 
 
