@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.robust import MAD_SCALE
+from tessera.operators.robust import MAD_SCALE, broadcast_if_small, exact_median
 
 NOISE = 0.05
 
@@ -21,9 +21,12 @@ def metric_matrix(long: DataFrame, *, key: list[str]) -> DataFrame:
     Adds median, scale (1.4826 * MAD, else the standard deviation, else 1) and span (of z, 1 where it is 0).
     """
     by = [*key, "metric"]
-    middle = long.groupBy(*by).agg(F.median("value").alias("median"), F.min("value").alias("_low"), F.max("value").alias("_high")).where("_high > _low")
+    ends = long.groupBy(*by).agg(F.min("value").alias("_low"), F.max("value").alias("_high")).where("_high > _low")
+    # programs and metrics are few and rows many: medians by bracket, so no task holds a metric's values
+    middle = broadcast_if_small(exact_median(long, key=by, value="value").drop("n").join(ends, by))
     filled = long.join(middle, by).withColumn("value", F.coalesce("value", "median"))
-    spread = filled.groupBy(*by).agg(F.median(F.abs(F.col("value") - F.col("median"))).alias("_mad"), F.stddev_pop("value").alias("_sd"))
+    mad = exact_median(filled.select(*by, F.abs(F.col("value") - F.col("median")).alias("_off")), key=by, value="_off").select(*by, F.col("median").alias("_mad"))
+    spread = broadcast_if_small(filled.groupBy(*by).agg(F.stddev_pop("value").alias("_sd")).join(mad, by))
     scale = F.when(F.col("_mad") > 0, MAD_SCALE * F.col("_mad")).when(F.col("_sd") > 0, F.col("_sd")).otherwise(F.lit(1.0))
     out = filled.join(spread, by).withColumn("scale", scale)
     return out.withColumn("z", (F.col("value") - F.col("median")) / F.col("scale")).withColumn("span", (F.col("_high") - F.col("_low")) / F.col("scale")).drop("_low", "_high", "_mad", "_sd")

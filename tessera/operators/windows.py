@@ -74,12 +74,12 @@ def pooled_midrank(df: DataFrame, *, value: str, ranges: int = 64) -> DataFrame:
 
 
 def rank_bins(df: DataFrame, *, value: str, bins: int) -> DataFrame:
-    """df with `bin`: distinct values in rank order, cut into `bins` equal shares."""
-    w = Window.orderBy(value)
-    distinct = df.select(value).distinct()
-    # the distinct values of a setting are few; their order is one window over them
-    ranked = distinct.select(value, F.floor((F.dense_rank().over(w) - 1) * bins / F.count("*").over(Window.partitionBy())).cast("int").alias("bin"))
-    return df.join(ranked, value)
+    """df with `bin`: distinct numbers in rank order, cut into `bins` equal shares; ranks go from range to range of the values."""
+    distinct = kept(df.where(F.col(value).isNotNull()).select(F.lit(0).alias("_all"), value, F.lit(1).alias("_one")).distinct())
+    ranked = running(dealt(distinct, key=["_all"], by=value), key=["_all"], order=[value], sums={"_rank": "_one"})
+    count = distinct.agg(F.count("*").alias("_count"))
+    binned = ranked.join(F.broadcast(count)).select(value, F.floor((F.col("_rank") - 1) * bins / F.col("_count")).cast("int").alias("bin"))
+    return df.join(binned, value)
 
 
 def sweep_cover(spans: DataFrame, *, key: list[str], start: str, end: str) -> DataFrame:

@@ -23,6 +23,11 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def oracle(name: str) -> str:
+    """SQL of a query that is registered already, to build another one's on."""
+    return _sql[name]
+
+
 def _load() -> None:
     import importlib
 

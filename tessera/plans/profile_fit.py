@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import fit
-from tessera.plans.catalogue import register
+from tessera.operators import fit, profiles
+from tessera.plans.catalogue import oracle, register
 from tessera.plans.tables import r6, table
+from tessera.session import kept, shared_path
 
 METRICS = ["price", "unit", "tax_paid", "tax_rest", "flat"]
 SIGNATURES = {"level": {"price": 1.0, "unit": 0.4}, "levy": {"tax_*": 1.0}, "spread": {"unit": 1.0, "tax_paid": 0.3}}
@@ -41,7 +42,7 @@ def _matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _curves(spark: SparkSession, d: str) -> DataFrame:
-    return fit.level_curves(_matrix(spark, d), key=["program"], params=["p1", "p2", "p3"])
+    return kept(fit.level_curves(_matrix(spark, d), key=["program"], params=["p1", "p2", "p3"]))  # a few numbers a level
 
 
 @register(_ROWS + " SELECT l_orderkey, l_linenumber, metric, round(z, 6) AS z, round(span, 4) AS span FROM z")
@@ -113,3 +114,51 @@ def lock_tongues(spark: SparkSession, d: str) -> DataFrame:
     """Stretches of quantity over which the mean discount stays locked at a simple ratio, for each tax."""
     line = table(spark, d, "lineitem").groupBy("l_tax", F.col("l_quantity").cast("long").alias("at")).agg(F.round(F.avg("l_discount") * 10, 9).alias("w"), F.avg("l_extendedprice").alias("s"))
     return fit.tongues(line, key=["l_tax"], at="at", winding="w", strength="s").withColumn("mean", F.round("mean", 3))
+
+
+_LOCK_ROWS = """
+r AS (SELECT l_returnflag AS program, cast(l_quantity AS BIGINT) AS p1, cast(round(l_discount * 100) AS BIGINT) AS p2, cast(round(l_tax * 100) AS BIGINT) AS p3, l_extendedprice / 50000 AS w, l_extendedprice AS s FROM lineitem),
+v AS (SELECT program, unnest(['p1', 'p2', 'p3']) AS param, unnest([p1, p2, p3]) AS level FROM r), c AS (SELECT program, param, level, count(*) AS n FROM v GROUP BY 1, 2, 3),
+m AS (SELECT program, param, arg_min(level, (-n, level)) AS mode, count(*) AS levels FROM c GROUP BY 1, 2),
+x AS (SELECT program, unnest(['p1', 'p1', 'p2']) AS a, unnest(['p2', 'p3', 'p3']) AS b, unnest([p1, p1, p2]) AS level, unnest([p2, p3, p3]) AS at_b, unnest(['p3', 'p2', 'p1']) AS other, unnest([p3, p2, p1]) AS held, w, s FROM r),
+y AS (SELECT x.* FROM x JOIN m ON m.program = x.program AND m.param = other AND m.mode = held JOIN m ma ON ma.program = x.program AND ma.param = a AND ma.levels >= 4 JOIN m mb ON mb.program = x.program AND mb.param = b AND mb.levels >= 4),
+l AS (SELECT program, a, b, level, at_b, round(avg(w), 9) AS w, avg(s) AS s, count(*) AS n FROM y GROUP BY 1, 2, 3, 4, 5), l2 AS (SELECT * FROM l WHERE (SELECT sum(n) FROM l k WHERE k.program = l.program AND k.a = l.a AND k.b = l.b) >= 8),
+f AS (SELECT *, list_min([{d: round(abs(w - round_even(w * 1, 0) / 1), 12), q: 1, p: cast(round_even(w * 1, 0) AS INT)}, {d: round(abs(w - round_even(w * 2, 0) / 2), 12), q: 2, p: cast(round_even(w * 2, 0) AS INT)}, {d: round(abs(w - round_even(w * 3, 0) / 3), 12), q: 3, p: cast(round_even(w * 3, 0) AS INT)}, {d: round(abs(w - round_even(w * 4, 0) / 4), 12), q: 4, p: cast(round_even(w * 4, 0) AS INT)}]) AS f FROM l2),
+k AS (SELECT *, CASE WHEN f.d <= 0.0125 THEN f.p || '/' || f.q END AS lock FROM f),
+g AS (SELECT *, row_number() OVER (PARTITION BY program, a, b, level ORDER BY at_b) - row_number() OVER (PARTITION BY program, a, b, level, lock ORDER BY at_b) AS g FROM k),
+t AS (SELECT program, a, b, level, any_value(f.p) AS p, any_value(f.q) AS q, (min(at_b) + max(at_b)) / 2 AS centre, max(at_b) - min(at_b) AS width, avg(s) AS mean, count(*) AS levels FROM g WHERE lock IS NOT NULL GROUP BY program, a, b, level, lock, g HAVING count(*) >= 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY program, a, b, p, q ORDER BY width DESC, level DESC, centre DESC) AS i FROM t)
+"""
+
+
+def lock_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Measurements with a winding number and its strength."""
+    return measurements(spark, d).withColumns({"w": F.col("price") / 50000, "s": F.col("price")})
+
+
+@register("WITH " + _LOCK_ROWS + " SELECT program, a, b, p, q, level, centre, width, round(mean, 3) AS mean, levels FROM o WHERE i = 1")
+def lock_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Widest locked stretch of each ratio for every pair of settings, the third at its most frequent value."""
+    made = profiles.lock_maps(lock_rows(spark, d), key=["program"], params=["p1", "p2", "p3"], winding="w", strength="s")
+    return made.withColumn("mean", F.round("mean", 3))
+
+
+_SQL = {n: oracle(n) for n in ("fit_parameters", "assigned_axes", "pair_strengths", "lock_maps")}
+
+
+@register(f"""
+WITH pa AS (SELECT f.program, string_agg(f.param || ':' || kind || ':' || driver || ':' || axis || ':' || cliffs, ',' ORDER BY f.param) AS parameters FROM ({_SQL['fit_parameters']}) f JOIN ({_SQL['assigned_axes']}) x ON x.program = f.program AND x.param = f.param GROUP BY 1),
+i AS (SELECT program, string_agg(a || '-' || b || ':' || cells, ',' ORDER BY a, b) AS interactions FROM ({_SQL['pair_strengths']}) WHERE strength >= 0.05 GROUP BY 1),
+k AS (SELECT program, count(*) AS locks, max(width) AS widest FROM ({_SQL['lock_maps']}) GROUP BY 1), n AS (SELECT l_returnflag AS program, count(*) AS rows FROM lineitem GROUP BY 1)
+SELECT program, rows, parameters, coalesce(interactions, '') AS interactions, coalesce(locks, 0) AS locks, widest FROM n JOIN pa USING (program) LEFT JOIN i USING (program) LEFT JOIN k USING (program)
+""")
+def profile_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Each program's whole profile, saved as one nested document, loaded again and read: parameters, interactions, lock maps."""
+    path = shared_path(spark, "profiles")
+    made = profiles.fit_profile(lock_rows(spark, d), key="program", params=["p1", "p2", "p3"], metrics=METRICS, signatures=SIGNATURES, response="price", winding="w", strength="s", keep=["l_orderkey", "l_linenumber"])
+    profiles.save_profiles(made, path, key="program")
+    p = profiles.load_profiles(spark, path).select("program", "profile.*")
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",")
+    parameter = joined("parameters", lambda x: F.concat_ws(":", x["param"], x["kind"], x["driver"], x["axis"], x["cliffs"].cast("string")))
+    pair = joined("interactions", lambda x: F.concat(x["a"], F.lit("-"), x["b"], F.lit(":"), x["cells"].cast("string")))
+    return p.select("program", "rows", parameter.alias("parameters"), pair.alias("interactions"), F.size("lock_maps").cast("long").alias("locks"), F.array_max("lock_maps.width").alias("widest"))

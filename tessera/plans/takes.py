@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs as x
 from tessera.operators import joins, windows
+from tessera.operators.robust import exact_median
 from tessera.plans.catalogue import register
 from tessera.plans.tables import events, r6, table
+from tessera.session import kept
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -67,8 +69,10 @@ def take_exactness(spark: SparkSession, d: str) -> DataFrame:
     """Lines of an order shipped within fifteen days of the median delay, later or earlier, and the verdict on the order."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     lines = table(spark, d, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", F.datediff("l_shipdate", "o_orderdate").alias("lag"))
+    lines = kept(lines.withColumn("_all", F.lit(0)))
+    middle = exact_median(lines, key=["_all"], value="lag").select(F.col("median").alias("m"))  # one row
     off = F.col("lag") - F.col("m")
-    c = lines.join(F.broadcast(lines.agg(F.median("lag").alias("m")))).groupBy("l_orderkey").agg(F.count("*").alias("steps"), F.count_if(F.abs(off) <= 15).alias("exact"), F.count_if(off > 15).alias("late"), F.count_if(off < -15).alias("early"))
+    c = lines.join(F.broadcast(middle)).groupBy("l_orderkey").agg(F.count("*").alias("steps"), F.count_if(F.abs(off) <= 15).alias("exact"), F.count_if(off > 15).alias("late"), F.count_if(off < -15).alias("early"))
     return c.withColumn("verdict", F.when(F.col("late") + F.col("early") == 0, "exact").when(F.col("late") >= F.col("early"), "late").otherwise("early"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,12 +42,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, spark.checkpoint.dir."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{folder.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df computed once and kept under spark.checkpoint.dir: its lineage ends there, so what is built on it may read it often."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_path(df.sparkSession, "kept"))
     return df.checkpoint()
