@@ -12,14 +12,15 @@ that holds its contents.
 The number of groups grows with the input, so no task holds more than a group, and every piece of every text is packed.
 
 Defined cases: a null or empty text is one piece of length 0 (it needs no room but its separator, if any). Pieces of
-equal length are taken in the order of (doc_id, piece); repeated rows are packed as pieces of their own. An empty table
-gives an empty result.
+equal length are taken in the order of (doc_id, piece); repeated rows are packed as pieces of their own. Ids may be of any type
+that sorts. Bins follow from the rows alone, not from the files they lie in. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,6 @@ from tessera.llm._common import stored
 
 LENGTHS = (2_048, 4_096, 8_192, 16_384)
 GROUP_PIECES = 8_000
-#: pieces of a trial fill; later ones change the cost of a length little
-TRIAL = 24
 
 
 class _Rooms:
@@ -83,28 +82,27 @@ class _Rooms:
         return room, b
 
 
-def trial_fill(sizes: Sequence[int], falling: Sequence[int], at: int, room: int) -> int:
-    """Units of the largest pieces from place `at` on that fit into a room, one after another, up to TRIAL pieces.
+def trial_fill(upto: Sequence[int], falling: Sequence[int], at: int, room: int) -> int:
+    """Units of the largest pieces from place `at` on that fit into a room, one after another.
 
-    falling holds the negated sizes, so that it rises.
+    falling holds the negated sizes, so that it rises, and upto the sums of the sizes before each place: pieces that follow one
+    another are taken at once, and then those that are too large are passed over at once.
     """
     filled = 0
-    for _ in range(TRIAL):
+    while True:
         at = bisect_left(falling, -room, at)
-        if at == len(sizes) or not sizes[at]:
-            break
-        filled += sizes[at]
-        room -= sizes[at]
-        at += 1
-    return filled
+        if at == len(falling) or not falling[at]:
+            return filled
+        stop = bisect_right(upto, upto[at] + room, at) - 1
+        filled, room, at = filled + upto[stop] - upto[at], room - upto[stop] + upto[at], stop
 
 
-def opened_length(sizes: Sequence[int], falling: Sequence[int], at: int, lengths: Sequence[int]) -> int:
+def opened_length(upto: Sequence[int], falling: Sequence[int], at: int, lengths: Sequence[int]) -> int:
     """Permitted length (sorted) to open for the piece at a place: the one whose bin, filled on trial, pads least."""
-    size = sizes[at]
+    size = -falling[at]
     best = None
     for c in lengths[bisect_left(lengths, size) :]:
-        used = size + trial_fill(sizes, falling, at + 1, c - size)
+        used = size + trial_fill(upto, falling, at + 1, c - size)
         if used <= lengths[-1] and lengths[bisect_left(lengths, used)] != c:
             continue  # the pieces to come do not fill it; it would be downsized
         cost = (c - used) / max(used, 1), -c
@@ -116,13 +114,13 @@ def opened_length(sizes: Sequence[int], falling: Sequence[int], at: int, lengths
 def pack(sizes: Sequence[int], lengths: Sequence[int] = LENGTHS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and start of each piece, and the length of each bin. sizes must be in decreasing order, none over the largest length."""
     lengths, sizes = sorted(lengths), [int(x) for x in sizes]
-    falling = [-x for x in sizes]
+    falling, upto = [-x for x in sizes], [0, *accumulate(sizes)]
     rooms, bins, starts = _Rooms(lengths[-1]), [], []
     used: list[int] = []
     for at, size in enumerate(sizes):
         found = rooms.take(size)
         if found is None:
-            room, b = opened_length(sizes, falling, at, lengths), len(used)
+            room, b = opened_length(upto, falling, at, lengths), len(used)
             used.append(0)
         else:
             room, b = found
@@ -150,10 +148,13 @@ def best_fit(docs: DataFrame, *, size: Column | None = None, lengths: Sequence[i
     """
     largest = max(lengths)
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))) if size is None else size
-    cut = stored(pieces(docs, largest, size=size, doc_id=doc_id), "packing")
-    n_groups = max(1, -(-cut.count() // group_pieces))
-    # the salt spreads pieces that are equal in everything
-    grouped = cut.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(n_groups)))
+    # pieces that are equal in everything are counted, so that each has a number: groups do not depend on the files' splits
+    same = ["doc_id", "piece", "piece_start", "piece_size"]
+    cut = stored(pieces(docs, largest, size=size, doc_id=doc_id).groupBy(*same).agg(F.count("*").alias("copies")), "packing")
+    n_groups = max(1, -(-(cut.agg(F.sum("copies")).first()[0] or 0) // group_pieces))
+    each = cut.select(*same, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    grouped = each.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "piece_size", "copy"), F.lit(n_groups))).drop("copy")
+    kind = dict(cut.dtypes)["doc_id"]
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("piece_size", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
@@ -162,4 +163,4 @@ def best_fit(docs: DataFrame, *, size: Column | None = None, lengths: Sequence[i
         out = {"bin_id": pa.array(group << 32 | bins), "bin_offset": pa.array(starts), "bin_length": pa.array(final[bins])}
         return pa.table({c: table.column(c) for c in ("doc_id", "piece", "piece_start", "piece_size")} | out)
 
-    return grouped.groupBy("group").applyInArrow(run, "doc_id long, piece long, piece_start long, piece_size long, bin_id long, bin_offset long, bin_length long")
+    return grouped.groupBy("group").applyInArrow(run, f"doc_id {kind}, piece long, piece_start long, piece_size long, bin_id long, bin_offset long, bin_length long")

@@ -157,6 +157,27 @@ def test_packing_is_complete_and_fits(spark, odd):
     assert packing.best_fit(odd.limit(0)).count() == 0
 
 
+def test_packing_does_not_depend_on_partitions(spark):
+    rows = [(i % 7 if i % 5 else None, "x" * (i % 90)) for i in range(600)]
+    made = []
+    for parts in (1, 9):
+        df = spark.createDataFrame(rows, KIND).repartition(parts)
+        made.append(Counter(map(tuple, packing.best_fit(df, lengths=(64, 256), group_pieces=50).collect())))
+    assert made[0] == made[1] and made[0].total() == 600 + sum(i % 90 > 0 and -(-(i % 90) // 256) > 1 for i in range(600))
+
+
+def test_trial_fill_takes_what_a_plain_loop_takes():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        sizes = sorted(map(int, rng.integers(0, 40, int(rng.integers(1, 60)))), reverse=True)
+        upto = [0, *np.cumsum(sizes).tolist()]
+        at, room = int(rng.integers(0, len(sizes))), int(rng.integers(0, 200))
+        left = room
+        for x in sizes[at:]:
+            left -= x if x <= left else 0
+        assert packing.trial_fill(upto, [-x for x in sizes], at, room) == room - left
+
+
 def smallest_fit(sizes, lengths):
     """Room taken by best fit that always opens the smallest length that holds the piece."""
     bins = []
