@@ -20,7 +20,7 @@ Run and window equality rest on two 64-bit hashes of different families (a polyn
 
 Defined cases: a null or empty text, or one under 400 bytes, loses nothing. Matches never cross documents. Rows that
 repeat (same id and text) are places of their own, so their whole text goes if it has 400 bytes; a null id is an id like
-any other. An empty table gives an empty result.
+any other, and ids may be of any type. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -314,8 +314,8 @@ def _met(parts: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def span_id(doc_id: Column) -> Column:
-    """Id under which spans are kept. Spans follow from the text alone, so a null may share an id."""
-    return F.coalesce(doc_id.cast("long"), F.lit(0).cast("long"))
+    """Number under which spans are kept, for ids of any type. Spans follow from the text alone, so ids may share a number."""
+    return F.coalesce(doc_id.try_cast("long"), F.xxhash64(doc_id))
 
 
 def find_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, most_classes: int = MOST_CLASSES) -> DataFrame:
@@ -377,7 +377,7 @@ def removal_digest(docs: DataFrame, *, kept_text: bool = False, **options) -> Da
     """
     spans = find_spans(docs, **options)
     text, doc_id = F.coalesce(F.col(options.get("text", "text")), F.lit("")), F.col(options.get("doc_id", "doc_id"))
-    keyed = docs.select(doc_id.cast("long").alias("doc_id"), span_id(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), zipped(text).alias("z"))
+    keyed = docs.select(doc_id.alias("doc_id"), span_id(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), zipped(text).alias("z"))
     joined = keyed.join(spans.withColumnsRenamed({"doc_id": "_id", "th": "_th", "spans": "_spans"}), ["_id", "_th"], "left")
     kind = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("text", pa.string())] * kept_text
 

@@ -272,6 +272,22 @@ def test_pipeline_stages(spark):
         docs = spark.read.parquet(path)
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Ids that are no numbers, nulls, empty and repeated texts, names that clash: nothing fails and columns stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = docs.select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("doc_id"), "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(None, "a b"), ("x", None), ("x", ""), ("y", " \n"), ("y", " \n"), ("z", "word " * 5000), (None, "a b")], "doc_id string, text string")
+    both = names.unionByName(odd, allowMissingColumns=True).select("*", F.lit(1).alias("row"), F.lit(2).alias("_id"), F.lit("t").alias("_th"), F.lit(3).alias("rules"), F.lit(4).alias("group"))
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("simhash_dedup", "suffix_dedup"):
+        out = stages[name](spark, both, SF)
+        assert out.columns == both.columns
+        ids = {r.doc_id for r in out.select("doc_id").collect()}
+        assert "d-0" in ids and len(ids) > 30
+    packed = stages["packing"](spark, both, SF)
+    assert dict(packed.dtypes)["doc_id"] == "string" and packed.agg(F.sum("piece_size")).first()[0] == both.agg(F.sum(F.octet_length("text"))).first()[0]
+
+
 def test_pipeline_on_no_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
