@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from tessera.functions.exprs import band_distance, saturate
 from tessera.plans.catalogue import register
 from tessera.plans.sequences import LIMITER_SQL
 from tessera.plans.tables import events, r6, table
+from tessera.session import shared_path
 from tessera.streaming import processors
 
 _PAIRS = "WITH f AS (SELECT vec_id, cast(embedding AS DOUBLE[]) AS x, label FROM embeddings), p AS (SELECT vec_id, x, lag(x) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM f), u AS (SELECT vec_id, unnest(x) AS x, unnest(b) AS b FROM p WHERE b IS NOT NULL)"
@@ -147,8 +145,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_path(spark, "stream")
 
 
 @register("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.catalogue import register
 from tessera.plans.tables import table
+from tessera.session import shared_path
 from tessera.sources.store import PARAMS, ResultStore, narrow, wide
 
 
 def _store(spark: SparkSession) -> ResultStore:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-store-")
-    return ResultStore(spark, f"{base.rstrip('/')}/store-{uuid.uuid4().hex}")
+    return ResultStore(spark, shared_path(spark, "store"))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:

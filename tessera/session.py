@@ -42,17 +42,26 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share, spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a temporary one if Spark runs in this process
+    alone; on a cluster an error, as executors would not see it."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-    return f"{folder.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """df computed once and kept under spark.checkpoint.dir: its lineage ends there, so what is built on it may read it often."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_path(df.sparkSession, "kept"))
+    """df computed once and kept in the shared folder: its lineage ends there, so what is built on it may read it often."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
