@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.windows import dealt, running
 
+PART_ROWS = 100_000
 FOUND = ("slack", "period_low", "period_high", "u", "period")
 
 
@@ -90,23 +91,35 @@ def nearest_line(corners: np.ndarray, sums: np.ndarray) -> tuple[float, float]:
 
 
 def _parts(batches: Iterator[pa.RecordBatch], kind: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """One row a key of each batch: hulls and sums."""
+    """One row a key of each PART_ROWS rows or so: hulls and sums."""
+    waiting, rows = [], 0
     for batch in batches:
-        table = pa.table(batch)
-        keys = table.column("_key").combine_chunks()
-        code = keys.dictionary_encode()
-        code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.fill_null(-1).to_numpy()
-        n, lo, hi = (table.column(c).to_numpy() for c in ("_n", "_lo", "_hi"))
-        order = np.argsort(code, kind="stable")
-        cut = np.flatnonzero(np.append(True, np.diff(code[order]) != 0)) if len(order) else []
-        first, low, high, sums = [], [], [], []
-        for own in np.split(order, cut[1:]) if len(order) else []:
-            x, mid = n[own], (lo[own] + hi[own]) / 2
-            first.append(own[0])
-            low.append(hull(np.stack([x, lo[own]], 1), True).ravel())
-            high.append(hull(np.stack([x, hi[own]], 1), False).ravel())
-            sums.append([len(own), x.sum(), x @ x, mid.sum(), x @ mid])
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(first, pa.int64())), pa.array(low, pa.list_(pa.float64())), pa.array(high, pa.list_(pa.float64())), pa.array(sums, pa.list_(pa.float64()))], schema=kind)
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows >= PART_ROWS:
+            yield _part(waiting, kind)
+            waiting, rows = [], 0
+    if rows:
+        yield _part(waiting, kind)
+
+
+def _part(batches: list[pa.RecordBatch], kind: pa.Schema) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches).combine_chunks()
+    keys = table.column("_key").combine_chunks()
+    keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
+    code = keys.dictionary_encode().indices.fill_null(-1).to_numpy()
+    n, lo, hi = (table.column(c).to_numpy() for c in ("_n", "_lo", "_hi"))
+    order = np.argsort(code, kind="stable")
+    cut = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
+    first, low, high, sums = [], [], [], []
+    for own in np.split(order, cut[1:]):
+        x, mid = n[own], (lo[own] + hi[own]) / 2
+        first.append(own[0])
+        low.append(hull(np.stack([x, lo[own]], 1), True).ravel())
+        high.append(hull(np.stack([x, hi[own]], 1), False).ravel())
+        sums.append([len(own), x.sum(), x @ x, mid.sum(), x @ mid])
+    lists = [pa.array(v, pa.list_(pa.float64())) for v in (low, high, sums)]
+    return pa.RecordBatch.from_arrays([keys.take(pa.array(first, pa.int64())), *lists], schema=kind)
 
 
 def feasible_lines(brackets: DataFrame, *, key: str, n: str, lo: str, hi: str) -> DataFrame:
