@@ -139,3 +139,12 @@ def meetings(queries: DataFrame, spans: DataFrame, *, key: list[str], first: str
     swept = running(dealt(points, key=key, by="at"), key=key, order=["at", "kind"], sums={"_open": "opened", "_shut": "closed"})
     found = F.sum(F.when(F.col("side") > 0, F.col("_open")).otherwise(-F.col("_shut")))
     return swept.where("_q is not null").groupBy("_q").agg(found.alias("met")).select("_q.*", "met")
+
+
+def medians(df: DataFrame, *, key: list[str], value: str) -> DataFrame:
+    """Per key the exact median, for many keys of which some may be hot: distinct values are counted, and dealt by ranges."""
+    counts = kept(df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_n")))
+    upto = running(dealt(counts, key=key, by=value), key=key, order=[value], sums={"_to": "_n"}).join(counts.groupBy(*key).agg(F.sum("_n").alias("_all")), key)
+    holds = lambda rank: (F.col("_to") >= F.expr(rank)) & (F.col("_to") - F.col("_n") < F.expr(rank))
+    ends = F.max(F.when(holds("(_all + 1) div 2"), F.col(value))) + F.max(F.when(holds("_all div 2 + 1"), F.col(value)))
+    return upto.groupBy(*key).agg((ends / 2).alias("median"))
