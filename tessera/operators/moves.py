@@ -132,12 +132,14 @@ def tail_p(scores: DataFrame, null: DataFrame, *, key: list[str]) -> DataFrame:
     return found.withColumn("p", p).select(*scores.columns, "p")
 
 
-def fisher(p: DataFrame, *, key: list[str], order: str) -> DataFrame:
+def fisher(p: DataFrame, *, key: list[str], order: str, term: Column | None = None) -> DataFrame:
     """Per key: steps, effective, least_p and z of Fisher's combination of a column `p`, whose rows a number orders.
 
+    term is -2 log p where p itself may be too small for a double.
+
     A first-order dependence r of the terms shrinks statistic and degrees of freedom to n (1 - r) / (1 + r) of n.
     """
-    terms = kept(p.withColumn("_u", -2 * F.log("p")))
+    terms = kept(p.withColumn("_u", -2 * F.log("p") if term is None else term))
     pairs = before(dealt(terms, key=key, by=order), key=key, order=[order], value="_u", name="_v")
     n, mean = F.col("steps"), F.col("_s") / F.col("steps")
     s = pairs.groupBy(*key).agg(F.count("*").alias("steps"), F.min("p").alias("least_p"), F.sum("_u").alias("_s"), F.sum(F.col("_u") * F.col("_u")).alias("_q"), F.sum(F.col("_u") * F.col("_v")).alias("_c"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_u") + F.col("_v"))).alias("_e"), (F.max("_u") == F.min("_u")).alias("_flat"))
