@@ -31,7 +31,7 @@ def oracle(name: str) -> str:
 def _load() -> None:
     import importlib
 
-    for module in ("event_joins", "profile", "sequences", "settings", "signals", "evidence", "more_signals", "profile_fit", "takes", "scores", "stored", "archives", "clips", "moved", "bracket_lines", "assigned", "sectioned", "structures", "spectral", "settled", "survived"):
+    for module in ("event_joins", "profile", "sequences", "settings", "signals", "evidence", "more_signals", "profile_fit", "takes", "scores", "stored", "archives", "clips", "moved", "bracket_lines", "assigned", "sectioned", "structures", "spectral", "settled", "survived", "pictured"):
         importlib.import_module(f"tessera.plans.{module}")
 
 
