@@ -142,7 +142,7 @@ def fisher(p: DataFrame, *, key: list[str], order: str, term: Column | None = No
     terms = kept(p.withColumn("_u", -2 * F.log("p") if term is None else term))
     pairs = before(dealt(terms, key=key, by=order), key=key, order=[order], value="_u", name="_v")
     n, mean = F.col("steps"), F.col("_s") / F.col("steps")
-    s = pairs.groupBy(*key).agg(F.count("*").alias("steps"), F.min("p").alias("least_p"), F.sum("_u").alias("_s"), F.sum(F.col("_u") * F.col("_u")).alias("_q"), F.sum(F.col("_u") * F.col("_v")).alias("_c"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_u") + F.col("_v"))).alias("_e"), (F.max("_u") == F.min("_u")).alias("_flat"))
+    s = pairs.groupBy(*key).agg(F.count("*").alias("steps"), F.min("p").alias("least_p"), F.sum("_u").alias("_s"), F.sum(F.col("_u") * F.col("_u")).alias("_q"), F.sum(F.col("_u") * F.col("_v")).alias("_c"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_u") + F.col("_v"))).alias("_e"), (F.max("_u") - F.min("_u") <= 1e-9 * F.max("_u")).alias("_flat"))
     r = (F.col("_c") - mean * F.col("_e") + (n - 1) * mean * mean) / (F.col("_q") - n * mean * mean)
     shrunk = F.least(n.cast("double"), F.greatest(F.lit(1.0), n * (1 - r) / (1 + r)))
     s = s.withColumn("effective", F.when((n < 3) | F.col("_flat"), n.cast("double")).otherwise(shrunk))
