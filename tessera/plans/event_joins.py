@@ -172,15 +172,23 @@ FROM p a JOIN p b ON a.p_size = b.p_size AND a.p_partkey <> b.p_partkey)
 SELECT p_partkey, round(own - avg(other), 6) AS residual FROM n WHERE k <= 5 GROUP BY p_partkey, own
 """)
 def knn_matched(spark: SparkSession, d: str) -> DataFrame:
-    """Price of each part against the mean of the five parts of its size that are nearest in price.
+    """Price of each part against the mean of the five parts of its size that are nearest in price, of equally near ones those with the smallest keys.
 
-    In price order the k nearest lie within k places on either side, so a window of 2k rows holds them.
+    In order of distinct prices the k nearest lie within k prices on either side, and of a price its k smallest keys can be among
+    them, k + 1 with the part's own. So a window of prices holds them, however many parts share one. Null prices come last.
     """
     k = 5
-    w = Window.partitionBy("p_size").orderBy("p_retailprice", "p_partkey")
-    p = table(spark, d, "part")
-    near = F.array(*[F.struct(f(F.col("p_retailprice"), i).over(w).alias("v"), f(F.col("p_partkey"), i).over(w).alias("id")) for f in (F.lag, F.lead) for i in range(1, k + 1)])
-    ranked = p.select("p_partkey", "p_retailprice", near.alias("near")).withColumn("near", F.filter("near", lambda x: x["v"].isNotNull())).where(F.size("near") > 0)
-    closest = F.slice(F.array_sort(F.transform("near", lambda x: F.struct(F.abs(x["v"] - F.col("p_retailprice")).alias("o"), x["id"].alias("id"), x["v"].alias("v")))), 1, k)
-    mean = F.aggregate(closest, F.lit(0.0), lambda a, x: a + x["v"]) / F.size(closest)
-    return ranked.select("p_partkey", r6(F.col("p_retailprice") - mean).alias("residual"))
+    own = F.col("p_retailprice")
+    p = table(spark, d, "part").select("p_partkey", "p_size", own).where("p_size is not null and p_partkey is not null")
+    first = p.withColumn("n", F.row_number().over(Window.partitionBy("p_size", own).orderBy("p_partkey"))).where(F.col("n") <= k + 1)
+    prices = first.groupBy("p_size", own).agg(F.collect_list("p_partkey").alias("ids"))
+    around = F.collect_list(F.struct(own.alias("v"), "ids")).over(Window.partitionBy("p_size").orderBy(own).rowsBetween(-k, k))
+    place = lambda v, i: F.struct(v.isNull().alias("last"), F.abs(v - own).alias("o"), i.alias("id"), v.alias("v"))
+    near = F.flatten(F.transform("around", lambda g: F.transform(g["ids"], lambda i: place(g["v"], i))))
+    closest = prices.withColumn("around", around).select("p_size", own.alias("price"), F.slice(F.array_sort(near), 1, k + 1).alias("near"))
+    # as merge: a file that looks small would send all parts through the driver
+    ranked = p.hint("merge").join(closest.withColumnRenamed("p_size", "size"), (F.col("size") == F.col("p_size")) & F.col("price").eqNullSafe(own))
+    others = ranked.select("p_partkey", own, F.slice(F.filter("near", lambda x: x["id"] != F.col("p_partkey")), 1, k).alias("near")).where(F.size("near") > 0)
+    priced = F.filter("near", lambda x: x["v"].isNotNull())
+    mean = F.aggregate(priced, F.lit(0.0), lambda a, x: a + x["v"]) / F.nullif(F.size(priced), F.lit(0))
+    return others.select("p_partkey", r6(own - mean).alias("residual"))

@@ -40,3 +40,14 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_knn_matched_ties_and_nulls(spark, tmp_path):
+    """Prices that many parts share at one distance on both sides, the lower one with the larger or the smaller keys; nulls; lone parts."""
+    shared = [(100 * place + i if size else 1000 - 100 * place - i, size, 10.0 + place) for size in (0, 1) for place in range(3) for i in range(4 + 4 * (place != 1))]
+    few = [(2001, 2, 10.0), (2002, 2, None), (2003, 3, None), (2004, 3, None), (2005, 4, 10.0), (2006, None, 10.0), (2007, None, 11.0), (None, 1, 11.0), (2008, 5, 10.0), (2009, 5, 12.0), (2010, 5, None)]
+    spark.createDataFrame(shared + few, "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    got, want = QUERIES["knn_matched"](spark, str(tmp_path)).toPandas(), con.execute(SQL["knn_matched"]).df()
+    assert len(want) == 47 and _rows(got) == _rows(want)
